@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionloom.checks import feature_views, log_and_tables
+from sessionloom.checks import evaluation, feature_views, log_and_tables, preparation
 
-GROUPS = [log_and_tables, feature_views]
+GROUPS = [log_and_tables, feature_views, preparation, evaluation]
 
 
 def queries() -> dict:

@@ -111,11 +111,3 @@ def history_terms(codes: Column) -> Column:
         lambda c, i: F.concat(F.lit("history_"), (i + 1).cast("string"), F.lit("_"), suffix[c]),
     )
     return F.coalesce(F.filter(terms, lambda t: t.isNotNull()), F.array().cast("array<string>"))
-
-
-def history_matrix(codes: Column) -> Column:
-    """The flags of `history_flags` as 12 rows of 21 numbers."""
-    return F.array(*[
-        F.array(*[flag(F.get(codes, i) == code) for code, _ in S.HISTORY_CODES])
-        for i in range(S.HISTORY_POSITIONS)
-    ])

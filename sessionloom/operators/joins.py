@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 32 << 20
+LOOKUP_ROWS = 10_000
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether the relation has at most `rows` rows and `size` bytes of text and numbers."""
-    width = F.lit(8 * len(df.columns))
-    for name, kind in df.dtypes:
-        if kind == "string":
-            width = width + F.coalesce(F.octet_length(f"`{name}`"), F.lit(0))
-    # At most rows + 1 of the rows are measured, however many there are.
-    n, total = df.select(width.alias("w")).limit(rows + 1).agg(F.count("w"), F.sum("w")).first()
-    return n <= rows and (total or 0) <= size
+def local_copy(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame | None:
+    """The relation held as literal rows if it has at most `max_rows`, else None.
+
+    Never fetches more than `max_rows + 1` rows. What follows reuses the rows instead of
+    running the plan behind them again.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def lookup_join(left: DataFrame, lookup: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Broadcast the lookup if it measures small; otherwise an ordinary shuffle join, whose
+    """Broadcast the lookup if it proves small; otherwise an ordinary shuffle join, whose
     skewed partitions the adaptive planner splits."""
-    return left.join(F.broadcast(lookup) if is_small(lookup) else lookup, on, how)
+    small = local_copy(lookup)
+    return left.join(lookup if small is None else F.broadcast(small), on, how)
