@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionloom.checks import evaluation, feature_views, log_and_tables, preparation
+from sessionloom.checks import evaluation, feature_views, log_and_tables, modelling, preparation
 
-GROUPS = [log_and_tables, feature_views, preparation, evaluation]
+GROUPS = [log_and_tables, feature_views, preparation, evaluation, modelling]
 
 
 def queries() -> dict:

@@ -49,19 +49,19 @@ def f_orig_port(spark, d):
 
 
 def f_resp_port_train(spark, d):
-    return X.conn(spark, d).select("uid", *E.resp_port_flags(F.col("id_resp_p"), S.TRAINING_PORTS))
+    return X.conn(spark, d).select("uid", *E.resp_port_flags("id_resp_p", S.TRAINING_PORTS))
 
 
 def f_resp_port_iot(spark, d):
-    return X.conn(spark, d).select("uid", *E.resp_port_flags(F.col("id_resp_p"), S.IOT_PORTS))
+    return X.conn(spark, d).select("uid", *E.resp_port_flags("id_resp_p", S.IOT_PORTS))
 
 
 def f_proto(spark, d):
-    return X.conn(spark, d).select("uid", *E.one_hot(F.col("proto"), S.PROTOCOLS, "proto"))
+    return X.conn(spark, d).select("uid", *E.one_hot("proto", S.PROTOCOLS, "proto"))
 
 
 def f_conn_state(spark, d):
-    return X.conn(spark, d).select("uid", *E.one_hot(F.col("conn_state"), S.CONN_STATES, "conn"))
+    return X.conn(spark, d).select("uid", *E.one_hot("conn_state", S.CONN_STATES, "conn"))
 
 
 def f_impute_flag(spark, d):
@@ -69,13 +69,13 @@ def f_impute_flag(spark, d):
 
 
 def f_service(spark, d):
-    return X.conn(spark, d).select("uid", *E.one_hot(F.col("service"), S.SERVICES, "svc"))
+    return X.conn(spark, d).select("uid", *E.one_hot("service", S.SERVICES, "svc"))
 
 
 def f_history_one_hot(spark, d):
     raw, legend = X.conn(spark, d), N.history_legend(spark)
     codes = V.history_array(N.build_session_history(raw, legend), legend)
-    return codes.select("uid", *E.history_flags(F.col("history_codes")))
+    return codes.select("uid", *E.history_flags())
 
 
 def f_simple_label(spark, d):

@@ -15,9 +15,16 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def one_hot(col: Column, values: Iterable, prefix: str) -> list[Column]:
+def _flag_of(condition: str, name: str) -> Column:
+    """`flag` from SQL text: one call per column, which matters for hundreds of them."""
+    return F.expr(f"CASE WHEN {condition} THEN 1 ELSE 0 END AS {name}")
+
+
+def one_hot(col: str, values: Iterable, prefix: str) -> list[Column]:
+    """One flag per value of a column."""
     values = list(values)
-    return [flag(col == v).alias(n) for v, n in zip(values, S.flag_names(prefix, values))]
+    quoted = [f"'{v}'" if isinstance(v, str) else str(v) for v in values]
+    return [_flag_of(f"{col} = {q}", n) for q, n in zip(quoted, S.flag_names(prefix, values))]
 
 
 def time_of_day(ts: Column) -> Column:
@@ -35,10 +42,10 @@ def orig_port_flags(port: Column) -> list[Column]:
     return [flag(r).alias(n) for r, n in zip(ranges, S.ORIG_PORT_COLUMNS)]
 
 
-def resp_port_flags(port: Column, ports: Iterable[int]) -> list[Column]:
+def resp_port_flags(port: str, ports: Iterable[int]) -> list[Column]:
     """One flag per listed port, and `other` for everything else including no port."""
     ports = list(ports)
-    other = F.when(port.isin(ports), 0).otherwise(1).alias("resp_port_other")
+    other = F.when(F.col(port).isin(ports), 0).otherwise(1).alias("resp_port_other")
     return one_hot(port, ports, "resp_port") + [other]
 
 
@@ -94,20 +101,25 @@ def legend_rows(legend: str = "literal") -> list[tuple[str, str]]:
     raise ValueError("legend must be 'literal' or 'full'")
 
 
-def history_flags(codes: Column) -> list[Column]:
+def history_flags(codes: str = "history_codes") -> list[Column]:
     """12 positions x 21 codes; a position past the end of the history has no flag set."""
     return [
-        flag(F.get(codes, i) == code).alias(f"history_{i + 1}_{suffix}")
+        _flag_of(f"get({codes}, {i}) = '{code}'", f"history_{i + 1}_{suffix}")
         for i in range(S.HISTORY_POSITIONS)
         for code, suffix in S.HISTORY_CODES
     ]
 
 
-def history_terms(codes: Column) -> Column:
+def history_terms(codes: str = "history_codes") -> Column:
     """The set flags of `history_flags` as the array of their column names."""
-    suffix = F.create_map(*[F.lit(v) for pair in S.HISTORY_CODES for v in pair])
-    terms = F.transform(
-        F.slice(codes, 1, S.HISTORY_POSITIONS),
-        lambda c, i: F.concat(F.lit("history_"), (i + 1).cast("string"), F.lit("_"), suffix[c]),
-    )
-    return F.coalesce(F.filter(terms, lambda t: t.isNotNull()), F.array().cast("array<string>"))
+    order = F.lit("".join(code for code, _ in S.HISTORY_CODES))
+    names = F.array(*[F.lit(n) for n in S.HISTORY_FEATURES])
+    first = F.slice(F.col(codes), 1, S.HISTORY_POSITIONS)
+
+    def name(code: Column, position: Column) -> Column:
+        # A code without a flag is at place 0; it must not fall into the position before.
+        place = F.instr(order, code)
+        return F.when(place > 0, F.get(names, position * len(S.HISTORY_CODES) + place - 1))
+
+    terms = F.filter(F.transform(first, name), lambda t: t.isNotNull())
+    return F.coalesce(terms, F.array().cast("array<string>"))

@@ -66,13 +66,13 @@ def _training_columns() -> list[Column]:
     return [
         E.time_of_day(F.col("ts")),
         *E.orig_port_flags(F.col("id_orig_p")),
-        *E.resp_port_flags(F.col("id_resp_p"), S.TRAINING_PORTS),
-        *E.one_hot(F.col("proto"), S.PROTOCOLS, "proto"),
-        *E.one_hot(F.col("conn_state"), S.CONN_STATES, "conn"),
+        *E.resp_port_flags("id_resp_p", S.TRAINING_PORTS),
+        *E.one_hot("proto", S.PROTOCOLS, "proto"),
+        *E.one_hot("conn_state", S.CONN_STATES, "conn"),
         *[F.col(c) for c in S.VOLUME_COLUMNS],
         *[c for name in S.IMPUTED for c in E.impute_with_flag(name)],
-        *E.one_hot(F.col("svc_name"), S.SERVICES, "svc"),
-        *E.history_flags(F.col("history_codes")),
+        *E.one_hot("svc_name", S.SERVICES, "svc"),
+        *E.history_flags(),
         E.malicious_flag(F.col("simple_label")).alias("simple_label_encoded"),
         *E.attack_flags(F.col("detailed_label")),
     ]
@@ -147,7 +147,7 @@ def compact_view(
     rows = _fused_inputs(filter_capture(raw, capture), legend)
     flags = set(S.HISTORY_FEATURES)
     columns = [c for c, n in zip(_training_columns(), S.TRAINING_COLUMNS) if n not in flags]
-    return rows.select(*keep, *columns, E.history_terms(F.col("history_codes")).alias("history_terms"))
+    return rows.select(*keep, *columns, E.history_terms().alias("history_terms"))
 
 
 def session_full_view(tables: dict[str, DataFrame], capture: str | None = None) -> DataFrame:
@@ -166,13 +166,13 @@ def session_full_view(tables: dict[str, DataFrame], capture: str | None = None)
         E.time_of_day(F.col("ts")),
         *[c for name in S.IMPUTED for c in E.impute_with_flag(name)],
         "svc_name",
-        *E.one_hot(F.col("svc_name"), S.SERVICES, "svc"),
+        *E.one_hot("svc_name", S.SERVICES, "svc"),
         "parent_uid",
         "history_codes",
-        *E.history_flags(F.col("history_codes")),
-        *E.one_hot(F.col("conn_state"), S.CONN_STATES, "conn"),
-        *E.one_hot(F.col("proto"), S.PROTOCOLS, "proto"),
+        *E.history_flags(),
+        *E.one_hot("conn_state", S.CONN_STATES, "conn"),
+        *E.one_hot("proto", S.PROTOCOLS, "proto"),
         *E.orig_port_flags(F.col("id_orig_p")),
-        *E.resp_port_flags(F.col("id_resp_p"), S.IOT_PORTS),
+        *E.resp_port_flags("id_resp_p", S.IOT_PORTS),
         E.malicious_flag(F.col("simple_label")).alias("label"),
     )
