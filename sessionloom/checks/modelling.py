@@ -25,17 +25,20 @@ QUERY_ITERATIONS = 40
 CUT = 0.5
 
 
-def _raw(spark, d) -> DataFrame:
-    """The fixture is one small file; spread it, since the fits run one task per partition."""
-    return X.conn(spark, d).repartition(spark.sparkContext.defaultParallelism, "uid")
+def _raw(spark, d, spread: bool) -> DataFrame:
+    """The fixture is one small file, read by one task. The fits with much work per row are
+    worth spreading over the cores; for the others the smaller number of tasks is quicker."""
+    raw = X.conn(spark, d)
+    cores = spark.sparkContext.defaultParallelism
+    return raw.repartition(max(1, cores // 2), "uid") if spread else raw
 
 
-def _compact(spark, d) -> DataFrame:
-    return V.compact_view(_raw(spark, d))
+def _compact(spark, d, spread: bool = False) -> DataFrame:
+    return V.compact_view(_raw(spark, d, spread))
 
 
-def _wide(spark, d) -> DataFrame:
-    return V.training_view_fused(_raw(spark, d), keep=["uid", "source_file"])
+def _wide(spark, d, spread: bool = True) -> DataFrame:
+    return V.training_view_fused(_raw(spark, d, spread), keep=["uid", "source_file"])
 
 
 def _sides(df: DataFrame, label: str = LABEL) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +71,7 @@ def m_logreg_balanced(spark, d):
 
 
 def m_random_forest(spark, d):
-    rows, features = _family(_compact(spark, d))
+    rows, features = _family(_compact(spark, d, spread=True))
     train, test = _sides(rows, FAMILY)
     return _held_out(M.fit_forest(train, features, FAMILY, QUERY_TREES), test, FAMILY)
 
@@ -80,7 +83,7 @@ def m_calibrated_svm(spark, d):
 
 
 def m_mlp(spark, d):
-    train, test = _sides(_compact(spark, d))
+    train, test = _sides(_compact(spark, d, spread=True))
     return _held_out(
         M.fit_mlp(train, S.ALL_FEATURES, LABEL, QUERY_HIDDEN, QUERY_ITERATIONS), test
     )
@@ -122,7 +125,7 @@ def m_top_coefficients(spark, d):
 
 
 def m_top_input_weights(spark, d):
-    rows = _compact(spark, d).persist()
+    rows = _compact(spark, d, spread=True).persist()
     return M.top_input_weights(
         M.fit_mlp(rows, S.ALL_FEATURES, LABEL, QUERY_HIDDEN, QUERY_ITERATIONS)
     )
@@ -161,7 +164,9 @@ def m_predict_capture(spark, d):
 
 
 def _trained(spark, d):
-    return train_all(_wide(spark, d), trees=QUERY_TREES, mlp_iterations=QUERY_ITERATIONS)
+    return train_all(
+        _wide(spark, d), trees=QUERY_TREES, mlp_hidden=QUERY_HIDDEN, mlp_iterations=QUERY_ITERATIONS
+    )
 
 
 def m_train_all(spark, d):

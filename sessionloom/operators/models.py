@@ -36,8 +36,10 @@ from sessionloom import schemas as S
 from sessionloom.operators.prepare import split_hash, upsample_minority, with_class_weight
 from sessionloom.operators.scaling import RobustScale, minmax_score
 
-# The training budgets of the models.
+# The training budgets and stopping tolerances of the models.
 LOGREG_ITERATIONS = 1000
+SVM_ITERATIONS = 1000
+LINEAR_TOLERANCE = 1e-4
 FOREST_TREES = 300
 CALIBRATION_FOLDS = 3
 MLP_HIDDEN = (512, 256, 128, 64)
@@ -127,11 +129,21 @@ def scale_stages(vectors: DataFrame, source: str, output: str, n: int, center: b
 
 
 def _run(stages: Iterable[Transformer], df: DataFrame) -> DataFrame:
+    """The stages in turn; one whose output `df` already holds is not run again."""
+    given = set(df.columns)
     for stage in stages:
-        df = stage.transform(df)
+        if not (stage.hasParam("outputCol") and stage.getOrDefault("outputCol") in given):
+            df = stage.transform(df)
     return df
 
 
+def assembled(df: DataFrame, features: Sequence[str], keep: Iterable[str]) -> DataFrame:
+    """The kept columns and the assembled vector, sparse where that is smaller: what the fits
+    below read, for holding in memory when several of them follow."""
+    stages, _ = input_stages(df, features)
+    return _run(stages, df).select(*keep, "assembled")
+
+
 def _vectors(
     df: DataFrame, features: Sequence[str], n: int, scale: bool, center: bool
 ) -> tuple[list[Transformer], list[str]]:
@@ -164,7 +176,7 @@ def fit_logreg(
     rows = with_class_weight(df, label) if balanced else df
     model = LogisticRegression(
         featuresCol="vector", labelCol=label, regParam=1.0 / (C * n), elasticNetParam=0.0,
-        standardization=False, maxIter=LOGREG_ITERATIONS, predictionCol="prediction",
+        standardization=False, maxIter=LOGREG_ITERATIONS, tol=LINEAR_TOLERANCE,
     )
     if balanced:
         model.setWeightCol("weight")
@@ -180,9 +192,9 @@ def fit_forest(
     name: str = "random_forest",
 ) -> Bundle:
     """Random forest on unscaled features with balanced class weights."""
-    stages, names = input_stages(df, features, "vector")
+    stages, names = input_stages(df, features)
     model = RandomForestClassifier(
-        featuresCol="vector", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
+        featuresCol="assembled", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
         featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=False,
     ).fit(_run(stages, with_class_weight(df, label)))
     return _bundle(name, names, [*stages, model], ["probability"])
@@ -217,7 +229,8 @@ def fit_calibrated_svm(
         n_inside = n - sizes[k]["pos"] - sizes[k]["neg"]
         svm = LinearSVC(
             featuresCol="vector", labelCol="_y", weightCol="weight", regParam=1.0 / (C * n_inside),
-            standardization=False, rawPredictionCol=f"margin_{k}", predictionCol=f"side_{k}",
+            standardization=False, maxIter=SVM_ITERATIONS, tol=LINEAR_TOLERANCE,
+            rawPredictionCol=f"margin_{k}", predictionCol=f"side_{k}",
         ).fit(inside)
         held = svm.transform(rows.filter(F.col("_fold") == k))
         sigmoid = LogisticRegression(
@@ -269,10 +282,15 @@ def fit_balanced_mlp(
     hidden: Sequence[int] = BALANCED_MLP_HIDDEN,
     iterations: int = BALANCED_MLP_ITERATIONS,
     exact: bool = True,
+    quartiles_from: DataFrame | None = None,
     name: str = "mlp_classifier",
 ) -> Bundle:
-    """Perceptron on robustly scaled features, the minority class drawn up to the majority."""
-    robust = RobustScale.fit(df, features, exact)
+    """Perceptron on robustly scaled features, the minority class drawn up to the majority.
+
+    `quartiles_from` is the same rows as `assembled` leaves them, if those are at hand.
+    """
+    vector = None if quartiles_from is None else vector_to_array("assembled")
+    robust = RobustScale.fit(df if vector is None else quartiles_from, features, exact, vector)
     stage, columns = robust_stage(robust)
     balanced = upsample_minority(df, key, label, SEED)
     fitted = fit_mlp(

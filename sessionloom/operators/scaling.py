@@ -51,50 +51,50 @@ class RobustScale:
     """Median and interquartile range, quartiles interpolated linearly between order statistics."""
 
     @staticmethod
-    def fit(df: DataFrame, cols: Iterable[str], exact: bool = True) -> Scaling:
+    def fit(
+        df: DataFrame, cols: Iterable[str], exact: bool = True, values: Column | None = None
+    ) -> Scaling:
+        """`values`, if given, is an array of the columns' values, in their order."""
         cols = list(cols)
-        found = exact_quartiles(df, cols) if exact else approximate_quartiles(df, cols)
-        spread = [found[c][2] - found[c][0] for c in cols]
-        return Scaling(
-            tuple(cols), tuple(found[c][1] for c in cols), tuple(s if s else 1.0 for s in spread)
-        )
+        if values is None:
+            values = F.array(*[F.col(c).cast("double") for c in cols])
+        found = exact_quartiles(df, values) if exact else approximate_quartiles(df, values)
+        low, middle, high = zip(*[found.get(i, [0.0] * 3) for i in range(len(cols))])
+        spread = [h - l for l, h in zip(low, high)]
+        return Scaling(tuple(cols), tuple(middle), tuple(s if s else 1.0 for s in spread))
 
 
-def approximate_quartiles(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
-    """From one pass with a sketch of fixed size per column."""
+def _long(df: DataFrame, values: Column) -> DataFrame:
+    """(column number, value) rows, merged into counts before they are shuffled."""
+    cells = df.select(F.posexplode(values).alias("c", "v")).filter(F.col("v").isNotNull())
+    return cells.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def approximate_quartiles(df: DataFrame, values: Column) -> dict[int, list[float]]:
+    """From a sketch of fixed size per column."""
     cuts = F.array(*[F.lit(p) for p in QUARTILES])
-    row = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), cuts, 100_000).alias(f"_{i}") for i, c in enumerate(cols)]
-    ).first()
-    return {c: list(row[f"_{i}"]) for i, c in enumerate(cols)}
+    sketch = F.percentile_approx("v", cuts, 100_000)
+    cells = df.select(F.posexplode(values).alias("c", "v")).filter(F.col("v").isNotNull())
+    return {r["c"]: list(r["q"]) for r in cells.groupBy("c").agg(sketch.alias("q")).collect()}
 
 
-def exact_quartiles(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
+def exact_quartiles(df: DataFrame, values: Column) -> dict[int, list[float]]:
     """From distributed value counts: no task ever holds a column's distinct values.
 
-    Rows become (column, value) counts, merged map-side; the running total of those counts says
-    between which values each wanted rank lies.
+    The running total of the counts says between which values each wanted rank lies. What
+    reaches the driver is three numbers per column.
     """
-    sizes = df.agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(cols)]).first()
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols
-    ])
-    counts = (
-        df.select(F.inline(cells))
-        .filter(F.col("v").isNotNull())
-        .groupBy("c", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = running_totals(counts, ["c"], [F.col("v")], {"upto": F.col("n")})
+    running = running_totals(_long(df, values), ["c"], [F.col("v")], {"upto": F.col("n")})
+    sizes = running.groupBy("c").agg(F.max("upto").alias("size")).collect()
     ranks = []
-    for i, c in enumerate(cols):
+    for c, size in sizes:
         for p in QUARTILES:
-            place = p * (sizes[f"_{i}"] - 1)
+            place = p * (size - 1)
             ranks += [(c, p, int(place), 1.0 - (place - int(place)))]
             if place > int(place):
                 ranks += [(c, p, int(place) + 1, place - int(place))]
     # Two ranks per quartile and column.
-    wanted = df.sparkSession.createDataFrame(ranks, "c string, p double, rank long, share double")
+    wanted = df.sparkSession.createDataFrame(ranks, "c int, p double, rank long, share double")
     rows = (
         running.join(F.broadcast(wanted), "c")
         .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
@@ -103,7 +103,7 @@ def exact_quartiles(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
         .collect()
     )
     found = {(r["c"], r["p"]): r["q"] for r in rows}
-    return {c: [found.get((c, p), 0.0) for p in QUARTILES] for c in cols}
+    return {c: [found[c, p] for p in QUARTILES] for c, _ in sizes}
 
 
 def minmax_score(df: DataFrame, col: str, name: str = "score") -> DataFrame:
