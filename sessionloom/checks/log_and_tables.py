@@ -40,7 +40,7 @@ def _parsed(spark, d):
 
 
 def _raw_from_log(spark, d):
-    return L.to_raw(L.null_tokens_except_source(_parsed(spark, d)))
+    return L.raw_from_lines(_lines(spark, d))
 
 
 def io_parse_conn_log(spark, d):

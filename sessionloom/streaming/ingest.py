@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.sources.conn_log import null_tokens_except_source, parse_conn_log, to_raw
+from sessionloom.sources.conn_log import raw_from_lines
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def stream_ingest(
 
     The checkpoint records which files are done, so a restart neither repeats nor skips one.
     """
-    rows = to_raw(null_tokens_except_source(parse_conn_log(stream_lines(spark, path, max_files))))
+    rows = raw_from_lines(stream_lines(spark, path, max_files))
     query = (
         rows.writeStream.format("parquet")
         .option("path", out)
