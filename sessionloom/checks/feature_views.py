@@ -111,6 +111,10 @@ def f_session_full_view(spark, d):
     return _joined_codes(V.session_full_view(_tables(spark, d)))
 
 
+def f_session_full_view_fused(spark, d):
+    return _joined_codes(V.session_full_view_fused(X.conn(spark, d)))
+
+
 def f_training_view_fused(spark, d):
     return V.training_view_fused(X.conn(spark, d), CAPTURE)
 
@@ -128,8 +132,8 @@ QUERIES = {
         f_filter_capture, f_history_array, f_label_string, f_time_of_day, f_orig_port,
         f_resp_port_train, f_resp_port_iot, f_proto, f_conn_state, f_impute_flag, f_service,
         f_history_one_hot, f_simple_label, f_label_flags, f_ipv4_to_int, f_encode_addresses,
-        f_tunnel_parent, f_training_view, f_session_full_view, f_training_view_fused,
-        f_materialize,
+        f_tunnel_parent, f_training_view, f_session_full_view,
+        f_session_full_view_fused, f_training_view_fused, f_materialize,
     ]
 }
 
@@ -169,6 +173,7 @@ ORACLE = {
     ),
     "f_training_view": O.with_tables(O.training_view(CAPTURE)),
     "f_session_full_view": O.with_tables(O.session_full_view()),
+    "f_session_full_view_fused": O.with_tables(O.session_full_view()),
     "f_training_view_fused": O.with_tables(O.training_view(CAPTURE)),
     "f_materialize": O.with_tables(O.training_view(None, ["s.uid", "s.source_file"])),
 }

@@ -159,20 +159,32 @@ def session_full_view(tables: dict[str, DataFrame], capture: str | None = None)
         ),
         tables["tunnel_parent"],
     )
-    return wide.select(
-        *S.SESSION_COLUMNS,
+    return wide.select(_session_columns())
+
+
+def session_full_view_fused(
+    raw: DataFrame, capture: str | None = None, legend: str = "literal"
+) -> DataFrame:
+    """The full session view straight from the raw relation, equal where `uid` is a key."""
+    rows = _fused_inputs(filter_capture(raw, capture), legend)
+    return rows.withColumn("parent_uid", F.col("tunnel_parents")).select(_session_columns())
+
+
+def _session_columns() -> list[Column]:
+    return [
+        *[F.col(c) for c in S.SESSION_COLUMNS],
         E.ipv4_to_int(F.col("id_orig_h")).alias("id_orig_h_int"),
         E.ipv4_to_int(F.col("id_resp_h")).alias("id_resp_h_int"),
         E.time_of_day(F.col("ts")),
         *[c for name in S.IMPUTED for c in E.impute_with_flag(name)],
-        "svc_name",
+        F.col("svc_name"),
         *E.one_hot("svc_name", S.SERVICES, "svc"),
-        "parent_uid",
-        "history_codes",
+        F.col("parent_uid"),
+        F.col("history_codes"),
         *E.history_flags(),
         *E.one_hot("conn_state", S.CONN_STATES, "conn"),
         *E.one_hot("proto", S.PROTOCOLS, "proto"),
         *E.orig_port_flags(F.col("id_orig_p")),
         *E.resp_port_flags("id_resp_p", S.IOT_PORTS),
         E.malicious_flag(F.col("simple_label")).alias("label"),
-    )
+    ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import schemas as S
 from sessionloom.functions.encoding import legend_rows, simple_label
-from sessionloom.operators.joins import lookup_join
+from sessionloom.operators.joins import lookup_join, small_rows
 from sessionloom.operators.quality import keep_first, require_unique
 from sessionloom.sources.tables import with_row_id
 
@@ -23,8 +23,13 @@ def unique_sessions(raw: DataFrame, on_duplicate: str = "fail") -> DataFrame:
 
 
 def _dimension(raw: DataFrame, source: str, key: str, name: str) -> DataFrame:
+    """Distinct names numbered in name order: as literal rows if few, else distributed."""
     names = raw.filter(F.col(source).isNotNull()).select(F.col(source).alias(name)).distinct()
-    return with_row_id(names, [name], key).select(key, name)
+    few = small_rows(names)
+    if few is None:
+        return with_row_id(names, [name], key).select(key, name)
+    numbered = enumerate(sorted(r[name] for r in few), start=1)
+    return raw.sparkSession.createDataFrame(list(numbered), f"{key} long, {name} string")
 
 
 def build_service(raw: DataFrame) -> DataFrame:

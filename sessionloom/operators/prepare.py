@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom import schemas as S
-from sessionloom.operators.joins import LOOKUP_ROWS
+from sessionloom.operators.joins import LOOKUP_ROWS, small_rows
 from sessionloom.operators.quality import drop_if_present
 from sessionloom.sources.tables import with_row_id
 
@@ -93,8 +93,8 @@ def _class_name(label: str) -> Column:
 
 def _class_sizes(df: DataFrame, label: str) -> dict[str, int]:
     counts = df.groupBy(_class_name(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(LOOKUP_ROWS + 1).collect()
-    if len(rows) > LOOKUP_ROWS:
+    rows = small_rows(counts)
+    if rows is None:
         raise ValueError(f"{label!r} has more than {LOOKUP_ROWS} values; not a class column")
     return {r["c"]: r["n"] for r in rows}
 
@@ -224,8 +224,8 @@ def upsample_minority(df: DataFrame, key: str, label: str, seed: int = 42) -> Da
     """Draw the smaller of the classes 0 and 1 with replacement up to the size of the larger.
 
     A draw is a pseudo-random place in the minority ordered by key. Draws are counted per place
-    first, so the join carries each minority row once, and only keys are numbered. With one
-    class only, the rows are returned as they are.
+    first, so the join carries each minority row once, and only keys are numbered; `key` must
+    identify rows. With one class only, the rows are returned as they are.
     """
     sizes = _class_sizes(df, label)
     n_pos, n_neg = sizes.get("1", 0), sizes.get("0", 0)

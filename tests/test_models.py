@@ -127,3 +127,19 @@ def test_train_all_then_evaluate(spark, wide, tmp_path):
     predicted, accuracy = T.predict_capture(bundles[0], unseen, ["uid"])
     assert predicted.count() == unseen.count() and 0 <= accuracy.first()[0] <= 1
     assert T.predict_capture(bundles[0], unseen.drop(LABEL), ["uid"])[1] is None
+
+
+def test_scores_without_a_probability(compact):
+    """A decision value is mapped to 0..1; a bare class is its own score."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LinearSVC
+
+    stages, names = M.input_stages(compact, S.TABULAR_FEATURES)
+    svm = LinearSVC(featuresCol="assembled", labelCol=FAMILY, maxIter=5).fit(M._run(stages, compact))
+    fitted = PipelineModel([*stages, svm])
+    margin = M.Bundle("margin", names, fitted, ["rawPrediction"], "margin")
+    label = M.Bundle("label", names, fitted, ["prediction"], "label")
+    scores = M.score_all([margin, label], compact, "uid", FAMILY).toPandas()
+    by_model = scores.groupby("model").score
+    assert by_model.min().tolist() == [0.0, 0.0] and by_model.max().tolist() == [1.0, 1.0]
+    assert set(scores[scores.model == "label"].score) <= {0.0, 1.0}

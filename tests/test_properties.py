@@ -76,6 +76,12 @@ def test_lookup_join_beyond_its_bound(spark, monkeypatch):
     assert same(small, J.lookup_join(left, right, "k"))
 
 
+def test_dimension_numbers_do_not_depend_on_its_size(raw, monkeypatch):
+    few = N.build_label(raw)
+    monkeypatch.setattr(N, "small_rows", lambda df: None)
+    assert same(few, N.build_label(raw)) and few.count() > 1
+
+
 def skewed(n=3000, seed=1):
     """A third of the rows share one score."""
     rnd = random.Random(seed)
