@@ -79,7 +79,8 @@ def m_random_forest(spark, d):
 def m_calibrated_svm(spark, d):
     rows, features = _family(_compact(spark, d))
     train, test = _sides(rows, FAMILY)
-    return _held_out(M.fit_calibrated_svm(train, features, FAMILY, "uid"), test, FAMILY)
+    fitted = M.fit_calibrated_svm(train, features, FAMILY, "uid", parallel=3)
+    return _held_out(fitted, test, FAMILY)
 
 
 def m_mlp(spark, d):
@@ -165,7 +166,8 @@ def m_predict_capture(spark, d):
 
 def _trained(spark, d):
     return train_all(
-        _wide(spark, d), trees=QUERY_TREES, mlp_hidden=QUERY_HIDDEN, mlp_iterations=QUERY_ITERATIONS
+        _wide(spark, d), trees=QUERY_TREES, mlp_hidden=QUERY_HIDDEN,
+        mlp_iterations=QUERY_ITERATIONS, parallel=3,
     )
 
 

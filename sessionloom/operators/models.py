@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     LinearSVC,
@@ -207,12 +209,14 @@ def fit_calibrated_svm(
     key: str,
     C: float = 1.0,
     folds: int = CALIBRATION_FOLDS,
+    parallel: int = 1,
     name: str = "support_vector_machine",
 ) -> Bundle:
     """Balanced linear SVM per fold, its margin mapped to a probability on the fold left out.
 
     The sigmoid is fitted to smoothed targets (Platt): a fractional target t is a row of each
-    class with weights t and 1 - t. The score is the mean over the folds.
+    class with weights t and 1 - t. The score is the mean over the folds. `parallel` folds are
+    fitted at a time, each holding its rows in executor memory and disk.
     """
     n = df.count()
     stages, names = _vectors(df, features, n, scale=True, center=False)
@@ -223,8 +227,8 @@ def fit_calibrated_svm(
     sizes = {r["_fold"]: r for r in rows.groupBy("_fold").agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
     ).collect()}
-    fitted, outputs = [], []
-    for k in sorted(sizes):
+
+    def fit_fold(k: int) -> list[Transformer]:
         inside = rows.filter(F.col("_fold") != k)
         n_inside = n - sizes[k]["pos"] - sizes[k]["neg"]
         svm = LinearSVC(
@@ -237,9 +241,12 @@ def fit_calibrated_svm(
             featuresCol=f"margin_{k}", labelCol="_t", weightCol="_w", rawPredictionCol=f"logit_{k}",
             probabilityCol=f"probability_{k}", predictionCol=f"class_{k}",
         ).fit(_platt_rows(held, f"margin_{k}", sizes[k]["pos"], sizes[k]["neg"]))
-        fitted += [svm, sigmoid]
-        outputs.append(f"probability_{k}")
-    return _bundle(name, names, [*stages, *fitted], outputs)
+        return [svm, sigmoid]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(fit_fold), sorted(sizes)))
+    outputs = [f"probability_{k}" for k in sorted(sizes)]
+    return _bundle(name, names, [*stages, *[m for pair in fitted for m in pair]], outputs)
 
 
 def _platt_rows(held: DataFrame, margin: str, pos: int, neg: int) -> DataFrame:
