@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.llm.decontaminate import contaminated, find_contamination, n_hit
+from sessionloom.llm.shards import uniform_shards
 from sessionloom.llm.substring_dedup import substring_dedup
 
 
@@ -18,5 +20,34 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in [op1_substring_dedup]}
+def op3_result(found: DataFrame) -> DataFrame:
+    hits = n_hit(F.col("spans"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        hits.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated(F.col("n_words"), hits).alias("contaminated"),
+    )
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    return op3_result(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal row counts, in uniformly random order."""
+    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
+    )
+    return uniform_shards(rows, 8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {f.__name__: f for f in [op1_substring_dedup, op3_decontaminate, op6_sharding]}
 ORACLE: dict[str, str] = {}
