@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.decontaminate import contaminated, find_contamination, n_hit
 from sessionloom.llm.shards import uniform_shards
+from sessionloom.llm.simhash import simhash_groups
 from sessionloom.llm.substring_dedup import substring_dedup
 
 
@@ -20,6 +21,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_result(groups: DataFrame) -> DataFrame:
+    return groups.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return op2_result(simhash_groups(table(spark, sf_dir, "documents")))
+
+
 def op3_result(found: DataFrame) -> DataFrame:
     hits = n_hit(F.col("spans"))
     return found.select(
@@ -49,5 +61,5 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in [op1_substring_dedup, op3_decontaminate, op6_sharding]}
+QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op6_sharding]}
 ORACLE: dict[str, str] = {}
