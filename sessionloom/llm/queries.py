@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.decontaminate import contaminated, find_contamination, n_hit
+from sessionloom.llm.secret_scan import RULES, rendered, scan_secrets
 from sessionloom.llm.shards import uniform_shards
 from sessionloom.llm.simhash import simhash_groups
 from sessionloom.llm.substring_dedup import substring_dedup
@@ -61,5 +62,50 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op6_sharding]}
-ORACLE: dict[str, str] = {}
+def op10_result(found: DataFrame) -> DataFrame:
+    spans = rendered(F.col("found"))
+    counts = [
+        F.size(F.filter("found", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{r.kind}")
+        for k, r in enumerate(RULES)
+    ]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans")
+    )
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return op10_result(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op6_sharding, op10_secret_scan]}
+
+def _secret_sql() -> str:
+    """Places are sums of the lengths of what lies between matches and of the matches."""
+    parts = []
+    for order, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""
+    SELECT row, '{rule.kind}' AS kind, {order} AS ord, string_split_regex(t, '{pattern}') AS gaps,
+      regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {rule.group}) AS checked,
+      {rule.least} AS least FROM d""")
+    union = " UNION ALL ".join(parts)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({union}),
+p AS (
+  SELECT row, kind, ord, least, gaps, hits, checked, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+s AS (
+  SELECT row, kind, ord, length(hits[i]) AS n,
+    coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)::BIGINT
+      + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS b
+  FROM p WHERE length(checked[i]) >= least),
+g AS (
+  SELECT row, string_agg(kind || ':' || b || ':' || (b + n), ',' ORDER BY b, ord) AS spans, {counts} FROM s GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES)},
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)"""
+
+
+ORACLE: dict[str, str] = {"op10_secret_scan": _secret_sql()}
