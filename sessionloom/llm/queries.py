@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.decontaminate import contaminated, find_contamination, n_hit
+from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.secret_scan import RULES, rendered, scan_secrets
 from sessionloom.llm.shards import uniform_shards
 from sessionloom.llm.simhash import simhash_groups
@@ -50,6 +51,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_result(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal row counts, in uniformly random order."""
     raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
@@ -78,7 +90,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_result(scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op6_sharding, op10_secret_scan]}
+QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op4_packing, op6_sharding, op10_secret_scan]}
 
 def _secret_sql() -> str:
     """Places are sums of the lengths of what lies between matches and of the matches."""
