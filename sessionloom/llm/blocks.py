@@ -56,6 +56,33 @@ def text_chunks(
         yield np.array(ids, np.int64), texts, np.array(null, bool)
 
 
+def row_blocks(
+    batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES
+) -> Iterator[tuple[np.ndarray, list[bytes], pa.Table]]:
+    """(ids, texts, all columns) of about `block_bytes` of text each, ids ascending in each."""
+
+    def block(parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        ids = rows.column(id_col).cast(pa.int64()).fill_null(NO_ID).to_numpy()
+        order = np.argsort(ids, kind="stable")
+        rows = rows.take(pa.array(order))
+        return ids[order], [t or b"" for t in rows.column(text_col).cast(pa.binary()).to_pylist()], rows
+
+    parts, size = [], 0
+    for batch in batches:
+        lengths = [len(t or b"") + 16 for t in batch.column(batch.schema.names.index(text_col)).cast(pa.binary()).to_pylist()]
+        at = 0
+        for i, n in enumerate(lengths):
+            size += n
+            if size >= block_bytes:
+                yield block([*parts, batch.slice(at, i + 1 - at)])
+                parts, at, size = [], i + 1, 0
+        if at < len(lengths):
+            parts.append(batch.slice(at))
+    if parts:
+        yield block(parts)
+
+
 def _block_writer(block_bytes: int, cuts: list[int]):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 24

@@ -15,8 +15,8 @@ the same rows pass one search after the other; nothing is shuffled.
 
 Words are found by 64-bit hashes of their bytes. Nulls: a null text has no words; a null item id is
 the empty string; a null document id stays null. Repeated item ids count once, repeated documents
-are judged each. Empty tables: no documents give no rows, no items give no hits. Columns other than
-those named are not read.
+are judged each. Empty tables: no documents give no rows, no items give no hits. Columns named like
+a result column are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.llm import blocks as B
 
@@ -40,7 +41,13 @@ UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MARKS = np.ones(256, bool)
 MARKS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
-STATE = "id long, text string, n_words long, spans array<int>, items array<string>"
+STATE = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.IntegerType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,11 +200,11 @@ def occurrences(phrases: Phrases, hashes: np.ndarray, doc: np.ndarray) -> tuple[
     return np.repeat(np.arange(len(n)), n), word[index.locate(rows)]
 
 
-def _search(phrases: Phrases):
+def _search(phrases: Phrases, text_at: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts = [t or b"" for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
+            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
             n_words = np.zeros(len(texts), np.int64)
             size = np.cumsum([len(t) for t in texts])
             cut = np.flatnonzero(np.diff(size // B.BLOCK_BYTES, prepend=-1)) if len(texts) else []
@@ -221,21 +228,21 @@ def _search(phrases: Phrases):
                     items[i + d].append(phrases.names[item])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(n_words),
+                    *batch.columns[:-3], pa.array(n_words),
                     pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())),
                 ],
-                names=["id", "text", "n_words", "spans", "items"],
+                names=batch.schema.names,
             )
 
     return search
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
     slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """(id, text, n_words, spans, items) per document.
+    """All rows and columns of `docs` with n_words, spans and items.
 
     `spans` has start and end, in turn, of the merged runs of hit words; `items` the ids, as text and
     sorted, of the items whose windows occur.
@@ -246,14 +253,18 @@ def find_contamination(
     )
     total = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first().b
     n = max(1, -(-int(total) // slice_bytes))
-    found = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("spans"),
-        F.expr("cast(array() as array<string>)").alias("items"),
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in STATE.names])
+    schema = T.StructType(list(rows.schema) + list(STATE))
+    found = rows.withColumns(
+        {
+            "n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<int>)"),
+            "items": F.expr("cast(array() as array<string>)"),
+        }
     )
+    at = rows.columns.index(text_col)
     for k in range(n):
         part = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        found = found.mapInArrow(_search(Phrases([(r.i, r.t.encode()) for r in part], window)), STATE)
+        found = found.mapInArrow(_search(Phrases([(r.i, r.t.encode()) for r in part], window), at), schema)
     return found.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 

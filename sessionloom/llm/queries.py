@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.decontaminate import contaminated, find_contamination, n_hit
+from sessionloom.llm.line_dedup import dedup_lines
 from sessionloom.llm.packing import pack_documents
+from sessionloom.llm.quality import graded, score_quality, selected
 from sessionloom.llm.secret_scan import RULES, rendered, scan_secrets
 from sessionloom.llm.shards import uniform_shards
 from sessionloom.llm.simhash import simhash_groups
@@ -37,7 +39,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_result(found: DataFrame) -> DataFrame:
     hits = n_hit(F.col("spans"))
     return found.select(
-        F.col("id").alias("doc_id"),
+        "doc_id",
         "n_words",
         hits.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -74,6 +76,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without line chunks that occur earlier."""
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and the decision for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, graded(table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", "expected_grade", F.get("tail", 0).alias("p_not_toxic"), F.get("tail", 1).alias("p_good"),
+        selected(F.col("tail")).alias("kept"),
+    )
+
+
 def op10_result(found: DataFrame) -> DataFrame:
     spans = rendered(F.col("found"))
     counts = [
@@ -90,7 +108,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_result(scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op4_packing, op6_sharding, op10_secret_scan]}
+QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op4_packing, op6_sharding, op7_line_dedup, op8_quality, op10_secret_scan]}
 
 def _secret_sql() -> str:
     """Places are sums of the lengths of what lies between matches and of the matches."""

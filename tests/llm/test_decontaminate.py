@@ -55,13 +55,13 @@ def test_equals_brute_force(spark, seed, slice_bytes):
         docs.append((i, "-, ".join(parts).upper() if i % 3 else "\n".join(parts)))
     docs += [(500, None), (501, ""), (502, "the " * 3000)]
     found = D.find_contamination(
-        spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as id", "2 as items").repartition(3),
+        spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as items", "3 as id").repartition(3),
         spark.createDataFrame(items, "item_id long, text string"), slice_bytes=slice_bytes,
     )
     want = brute(docs, items)
     for row in found.collect():
         n = sum(b - a for a, b in zip(row.spans[::2], row.spans[1::2]))
-        assert (row.n_words, n, row.items) == want[row.id]
+        assert (row.n_words, n, row.items) == want[row.doc_id]
     for row in op3_result(found).collect():
         n, hit, names = want[row.doc_id]
         assert (row.n_words, row.n_hit, row.n_items) == (n, hit, len(names))
