@@ -10,7 +10,7 @@ slot of which sequence it fills. Ranks are counted inside each chunk of a scan t
 the chunks' totals, so a length that a third of all documents have is not gathered anywhere.
 
 Texts are tokenised by distinct words: the tokenizer drops white space, so a text's ids are those of
-its parts between blanks, tabs and line ends. Pieces are written once before they are counted.
+its parts between ASCII white space; marks at a word's end are such a part too. Pieces are written once before they are counted.
 
 Defined cases: a null text is empty and gives the end id alone. Null, repeated and equal ids make
 pieces like any others. Very long texts give many full pieces. An empty table gives no rows. Other
@@ -23,6 +23,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,46 +36,113 @@ from sessionloom.session import scratch_path
 
 LENGTH = 2048
 END_ID = 1
-CHUNK_BYTES = 24 << 20
-#: What surely separates words for the tokenizer and stands in no token.
-BETWEEN_WORDS = r"[ \t\n\r]+"
+CHUNK_BYTES = 12 << 20
+#: Marks that are split from the end of a word.
+TAIL = ".,!?*#$%&;:"
+#: Words of letters that are encoded in one call.
+TOGETHER = 64
+#: So many words' ids a worker keeps.
+KNOWN_WORDS = 250_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, block long, rank long, ids binary"
 _TOKENIZERS: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class Tokenized:
+    """A tokenizer in a worker, which of its tokens end a word, and the words it has lately met."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+
+def _tokenizer(path: str) -> Tokenized:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Tokenized(path)
     return _TOKENIZERS[path]
 
 
-def token_ids(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+def _split_tails(words: pa.Array) -> tuple[pa.Array, list[str]]:
+    """Words without the marks at their end, and these, which are tokens of their own after a letter or digit."""
+    stem = pc.utf8_rtrim(words, characters=TAIL)
+    apart = pc.and_(
+        pc.and_(pc.match_substring_regex(stem, r"[\pL\pN]$"), pc.not_equal(stem, words)),
+        pc.invert(pc.match_substring(words, "<|")),
+    )
+    cut = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+    tails = [""] * len(words)
+    for k, w, t in zip(cut.tolist(), words.take(cut).to_pylist(), stem.take(cut).to_pylist()):
+        tails[k] = w[len(t) :]
+    return pc.if_else(apart, stem, words), tails
+
+
+def encode_words(words: list[str], tokenizer: Tokenized) -> list[bytes]:
+    """Ids of each word, four bytes each.
+
+    Words of letters alone are encoded together: each of them ends with its only word-end token.
+    """
+    out = [tokenizer.known.get(w) for w in words]
+    new = [k for k, b in enumerate(out) if b is None]
+    plain = [k for k in new if words[k].isalpha()]
+    groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+    for at in range(0, len(groups), 64):
+        some = groups[at : at + 64]
+        joined = [" ".join([words[k] for k in g]) for g in some]
+        for g, e in zip(some, tokenizer.encode(joined)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(tokenizer.word_end[ids]) + 1
+            if len(ends) == len(g) and ends[-1] == len(ids):  # else they are encoded one by one
+                data, begin = ids.tobytes(), 0
+                for k, end in zip(g, (4 * ends).tolist()):
+                    out[k] = data[begin:end]
+                    begin = end
+    rest = [k for k in new if out[k] is None]
+    for at in range(0, len(rest), 4096):
+        some = rest[at : at + 4096]
+        for k, e in zip(some, tokenizer.encode([words[k] for k in some])):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+    if len(tokenizer.known) + len(new) > KNOWN_WORDS:
+        tokenizer.known.clear()
+    tokenizer.known.update((words[k], out[k]) for k in new[:KNOWN_WORDS] if len(words[k]) < 40)
+    return out
+
+
+def token_ids(texts: list[bytes], tokenizer: Tokenized) -> tuple[np.ndarray, np.ndarray]:
     """All ids of all texts end to end, and where each text's begin (and the last's end)."""
-    words = pc.split_pattern_regex(texts, BETWEEN_WORDS)
-    coded = words.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    parts = []
-    for at in range(0, len(distinct), 4096):
-        parts += [e.ids for e in tokenizer.encode_batch_fast(distinct[at : at + 4096], add_special_tokens=False)]
-    size = np.array([len(p) for p in parts], np.int64)
+    # The tokenizer lowers letters but for those of its special tokens.
+    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    offsets = np.cumsum([0, *map(len, split)])
+    coded = pa.array(chain.from_iterable(split), pa.binary()).cast(pa.string()).dictionary_encode()
+    del split
+    distinct = coded.dictionary
+    stems, tails = _split_tails(distinct)
+    stems = stems.dictionary_encode()
+    stem_ids = encode_words(stems.dictionary.to_pylist(), tokenizer)
+    marks = sorted(set(tails))
+    mark_ids = dict(zip(marks, encode_words(marks, tokenizer)))
+    parts = [stem_ids[k] + mark_ids[t] for k, t in zip(stems.indices.to_pylist(), tails)]
+    size = np.array([len(p) for p in parts], np.int32) // 4
     begin = np.cumsum(size) - size
-    flat = np.array([i for p in parts for i in p], np.uint32)
+    flat = np.frombuffer(b"".join(parts), "<u4")
     code = coded.indices.to_numpy(zero_copy_only=False)
-    offsets = words.offsets.to_numpy()
-    offsets = offsets - offsets[0]
-    n = size[code] if len(code) else np.zeros(0, np.int64)
+    n = size[code] if len(code) else np.zeros(0, np.int32)
     before = np.concatenate(([0], np.cumsum(n)))
-    ids = flat[np.arange(before[-1]) + np.repeat(begin[code] - before[:-1], n)] if before[-1] else flat[:0]
+    shift = (begin[code] - before[:-1]).astype(np.int32) if len(code) else n
+    ids = flat[np.arange(before[-1], dtype=np.int32) + np.repeat(shift, n)] if before[-1] else flat[:0]
     return ids, before[offsets]
 
 
 def _pieces(path: str, length: int, end_id: int, keep_ids: bool):
-    def chunk(doc_ids: list, texts: list, block: int) -> pa.RecordBatch:
-        ids, at = token_ids(pa.array(texts, pa.large_string()), _tokenizer(path))
+    def piece_rows(doc_ids: list, texts: list, block: int) -> pa.RecordBatch:
+        ids, at = token_ids(texts, _tokenizer(path))
         total = np.diff(at) + 1
         n = -(-total // length)
         doc = np.repeat(np.arange(len(texts)), n)
@@ -103,15 +171,15 @@ def _pieces(path: str, length: int, end_id: int, keep_ids: bool):
         base, no = TaskContext.get().partitionId() << 24, 0
         doc_ids, texts, size = [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 doc_ids.append(i)
-                texts.append(t or "")
-                size += len(t or "") + 16
+                texts.append(t or b"")
+                size += len(t or b"") + 16
                 if size >= CHUNK_BYTES:
-                    yield chunk(doc_ids, texts, base + no)
+                    yield piece_rows(doc_ids, texts, base + no)
                     doc_ids, texts, size, no = [], [], 0, no + 1
         if texts:
-            yield chunk(doc_ids, texts, base + no)
+            yield piece_rows(doc_ids, texts, base + no)
 
     return run
 

@@ -32,9 +32,9 @@ def test_patterns_use_every_piece_once():
 @pytest.mark.parametrize("length", [2048, 32])
 def test_round_trip(spark, length):
     r = random.Random(1)
-    bits = ["Hello", "<|endoftext|>", "world's", " ", "\n", "é", "é", " ", "\x1c", "日本", "2024", "...", " ́a", "\r\n", "\t"]
-    rows = [(i, "".join(r.choices(bits, k=r.randint(0, 60)))) for i in range(200)]
-    rows += [(300, None), (301, ""), (302, "word " * 9000), (None, "same"), (None, "same"), (5, "same")]
+    bits = ["Hello", "<|endoftext|>", "world's", " ", "\n", "é", "é", " ", "\x1c", "日本", "2024", "...", " ́a", "\r\n", "\t", ",", "<|EndOfText|>", "x).", "É.", "ΑΣ!", "it's.", "<|startoftext|>.", "²,", "e\u0301.", "=\u0338", "\x0b", "\x0c", "a,b"]
+    rows = [(i, "".join(r.choices(bits, k=r.randint(0, 60)))) for i in range(400)]
+    rows += [(500, None), (501, ""), (502, "word " * 9000), (None, "same"), (None, "same"), (5, "same")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as length", "2 as ids").repartition(3)
     got = pack_documents(df, PATH, length=length).collect()
     tokenizer = Tokenizer.from_file(PATH)
