@@ -13,6 +13,7 @@ from sessionloom.llm.secret_scan import RULES, rendered, scan_secrets
 from sessionloom.llm.shards import uniform_shards
 from sessionloom.llm.simhash import simhash_groups
 from sessionloom.llm.substring_dedup import substring_dedup
+from sessionloom.llm.suffix_index import dedup_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +93,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without strings of 50 bytes that start in an earlier document."""
+    found = dedup_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_result(found: DataFrame) -> DataFrame:
     spans = rendered(F.col("found"))
     counts = [
@@ -108,7 +115,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_result(scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op4_packing, op6_sharding, op7_line_dedup, op8_quality, op10_secret_scan]}
+QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op4_packing, op6_sharding, op7_line_dedup, op8_quality, op9_suffix_index, op10_secret_scan]}
 
 def _secret_sql() -> str:
     """Places are sums of the lengths of what lies between matches and of the matches."""
