@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.decontaminate import contaminated, find_contamination, n_hit
 from sessionloom.llm.line_dedup import dedup_lines
 from sessionloom.llm.packing import pack_documents
+from sessionloom.llm.pivot_index import embedding_groups
 from sessionloom.llm.quality import graded, score_quality, selected
 from sessionloom.llm.secret_scan import RULES, rendered, scan_secrets
 from sessionloom.llm.shards import uniform_shards
@@ -65,6 +66,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
+def op5_result(groups: DataFrame) -> DataFrame:
+    return groups.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate groups of all vectors."""
+    return op5_result(embedding_groups(table(spark, sf_dir, "embeddings")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal row counts, in uniformly random order."""
     raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
@@ -115,7 +127,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_result(scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op4_packing, op6_sharding, op7_line_dedup, op8_quality, op9_suffix_index, op10_secret_scan]}
+QUERIES = {f.__name__: f for f in [op1_substring_dedup, op2_simhash, op3_decontaminate, op4_packing, op5_pivot_index, op6_sharding, op7_line_dedup, op8_quality, op9_suffix_index, op10_secret_scan]}
 
 def _secret_sql() -> str:
     """Places are sums of the lengths of what lies between matches and of the matches."""
