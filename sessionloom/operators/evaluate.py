@@ -109,9 +109,14 @@ def _metric_columns() -> dict[str, Column]:
     }
 
 
+def reaches(score: Column, threshold: Column) -> Column:
+    """`score >= threshold`; a score that is null or no number reaches nothing."""
+    return F.coalesce(~F.isnan(score) & (score >= threshold), F.lit(False))
+
+
 def metrics_at(scores: DataFrame, threshold: float) -> DataFrame:
     """Counts and metrics per model with `score >= threshold` as the positive side."""
-    positive, y = F.col("score") >= F.lit(float(threshold)), F.col("label")
+    positive, y = reaches(F.col("score").cast("double"), F.lit(float(threshold))), F.col("label")
     return (
         scores.groupBy("model")
         .agg(
@@ -125,6 +130,11 @@ def metrics_at(scores: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _number_or_lowest() -> Column:
+    score = F.col("score").cast("double")
+    return F.when(score.isNull() | F.isnan(score), F.lit(float("-inf"))).otherwise(score)
+
+
 def threshold_grid(n: int = GRID_POINTS) -> list[float]:
     """`n` evenly spaced thresholds from 0 to 1, as whole multiples of the step."""
     step = 1.0 / (n - 1)
@@ -142,8 +152,9 @@ def threshold_scan(scores: DataFrame, n: int = GRID_POINTS) -> DataFrame:
         splits=[-float("inf"), *grid, float("inf")], inputCol="score", outputCol="_bucket"
     )
     y = F.col("label")
+    # Scores that are null or no number lie below every threshold.
     counts = (
-        buckets.transform(scores.select("model", "label", F.col("score").cast("double")))
+        buckets.transform(scores.select("model", "label", _number_or_lowest().alias("score")))
         .groupBy("model", F.col("_bucket").cast("int").alias("_bucket"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
@@ -198,12 +209,14 @@ def choose_threshold(
     return best.select("model", "b.*")
 
 
-def pr_curve(scores: DataFrame) -> DataFrame:
+def pr_curve(scores: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Precision and recall with each distinct score as the threshold, then the point (1, 0).
 
-    Equal scores are merged first; the rest is a running total from the highest score down.
+    Equal scores are merged first; the rest is a running total from the highest score down. `steps`
+    is what `score_steps` gives, if that is at hand.
     """
-    curve = _score_steps(scores)
+    curve = score_steps(scores) if steps is None else steps
+    curve = curve.filter("score is not null")
     positives = _class_totals(scores).select("model", "n_pos")
     held = local_copy(positives)
     positives = positives if held is None else held
@@ -232,23 +245,28 @@ def _class_totals(scores: DataFrame) -> DataFrame:
     )
 
 
-def _score_steps(scores: DataFrame) -> DataFrame:
-    """Distinct scores per model with their counts and the counts at or above them."""
-    steps = scores.groupBy("model", "score").agg(
+def score_steps(scores: DataFrame) -> DataFrame:
+    """Distinct scores per model with their counts and the counts at or above them.
+
+    Scores that are null or no number make the last step, with a null score.
+    """
+    score = F.col("score").cast("double")
+    steps = scores.groupBy("model", F.when(~F.isnan(score), score).alias("score")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
     return running_totals(
-        steps, ["model"], [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}
+        steps, ["model"], [F.desc_nulls_last("score")], {"tp": F.col("pos"), "fp": F.col("neg")}
     )
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
+def roc_auc(scores: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half; null where a class is absent."""
     # Each negative is outranked by the positives strictly above it and half of those level.
     above = F.col("tp") - F.col("pos") + F.col("pos") / 2
     won = F.sum(F.col("neg") * above)
     pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return _score_steps(scores).groupBy("model").agg(F.try_divide(won, pairs).alias("roc_auc"))
+    steps = score_steps(scores) if steps is None else steps
+    return steps.groupBy("model").agg(F.try_divide(won, pairs).alias("roc_auc"))
 
 
 def strategy_name(strategy: str, used_floors: Column) -> Column:
@@ -295,5 +313,5 @@ def export_predictions(scores: DataFrame, chosen: DataFrame) -> DataFrame:
         "key",
         F.col("label").alias("y_true"),
         F.col("score").alias("y_prob"),
-        F.when(F.col("score") >= F.col("threshold"), 1).otherwise(0).alias("y_pred"),
+        F.when(reaches(F.col("score").cast("double"), F.col("threshold")), 1).otherwise(0).alias("y_pred"),
     )

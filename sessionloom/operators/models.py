@@ -35,7 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom import schemas as S
-from sessionloom.operators.prepare import split_hash, upsample_minority, with_class_weight
+from sessionloom.operators.prepare import (
+    align_inputs,
+    fit_sample,
+    stratified_folds,
+    upsample_minority,
+    with_class_weight,
+)
 from sessionloom.operators.scaling import RobustScale, minmax_score
 
 # The training budgets and stopping tolerances of the models.
@@ -48,6 +54,7 @@ MLP_HIDDEN = (512, 256, 128, 64)
 MLP_ITERATIONS = 300
 BALANCED_MLP_HIDDEN = (256, 128)
 BALANCED_MLP_ITERATIONS = 1000
+CLEAN_MLP_HIDDEN = (128, 64)
 LATENT_MLP_HIDDEN = (128, 64, 32, 16)
 TABULAR_LATENTS = 4
 FULL_LATENTS = 20
@@ -55,15 +62,16 @@ HISTORY_LATENTS = 2
 TOP_FEATURES = 15
 SEED = 42
 
-# The forest grows level by level with one histogram job each, so its depth is bounded.
-FOREST_DEPTH = 12
+# The deepest that the library's trees can grow.
+FOREST_DEPTH = 30
 
 
 @dataclass
 class Bundle:
-    """A fitted model: what it reads, its stages, and where its score comes from.
+    """A fitted model: its vector's names, its stages, where its score comes from, what it reads.
 
-    `kind` is `probability` or `margin` (vector columns whose second entry counts), or `label`.
+    `features` names the entries of the vector the classifier sees; `inputs` are the columns that the
+    stages read, with `history_terms` among them if the flags come as that array. `kind` is `probability` or `margin` (vector columns whose second entry counts), or `label`.
     With several outputs the score is their mean.
     """
 
@@ -73,6 +81,10 @@ class Bundle:
     outputs: list[str]
     kind: str = "probability"
     notes: dict = field(default_factory=dict)
+    inputs: list[str] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.inputs = self.inputs or stage_inputs(self.pipeline.stages)
 
     def add_score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """`df` with the score as one more column; stage outputs are not kept."""
@@ -88,6 +100,20 @@ class Bundle:
         return minmax_score(scored, name, name) if self.kind == "margin" else scored
 
 
+def stage_inputs(stages: Iterable[Transformer]) -> list[str]:
+    """The columns that stages read and none of them makes."""
+    made, read = set(), []
+    for stage in stages:
+        for param in ("inputCols", "inputCol", "featuresCol"):
+            if stage.hasParam(param) and stage.isDefined(param):
+                value = stage.getOrDefault(param)
+                read += [c for c in ([value] if isinstance(value, str) else value) if c not in made]
+        for param in ("outputCol", "rawPredictionCol", "probabilityCol", "predictionCol"):
+            if stage.hasParam(param) and stage.isDefined(param):
+                made.add(stage.getOrDefault(param))
+    return list(dict.fromkeys(read))
+
+
 # --- stages --------------------------------------------------------------------
 
 
@@ -156,8 +182,8 @@ def _vectors(
     return stages + scale_stages(_run(stages, df), "assembled", "vector", n, center), names
 
 
-def _bundle(name, names, stages, outputs, kind="probability") -> Bundle:
-    return Bundle(name, list(names), PipelineModel(stages), outputs, kind)
+def _bundle(name, names, stages, outputs, kind="probability", notes=None) -> Bundle:
+    return Bundle(name, list(names), PipelineModel(stages), outputs, kind, notes or {})
 
 
 # --- classifiers -----------------------------------------------------------------
@@ -185,6 +211,36 @@ def fit_logreg(
     return _bundle(name, names, [*stages, model.fit(_run(stages, rows))], ["probability"])
 
 
+def logreg_gradient(bundle: Bundle, df: DataFrame, label: str, C: float = 1.0, balanced: bool = False) -> np.ndarray:
+    """The gradient of the stated objective per coefficient and, last, for the intercept.
+
+    It is zero at the optimum. Tasks sum their rows; one vector per task moves.
+    """
+    *stages, model = bundle.pipeline.stages
+    w, b = model.coefficients.toArray(), model.intercept
+    rows = _run(stages, with_class_weight(df, label) if balanced else df.withColumn("weight", F.lit(1.0)))
+    vectors = rows.select(vector_to_array("vector").alias("x"), F.col(label).cast("double").alias("y"), "weight")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n, weight = np.zeros(len(w) + 1), 0, 0.0
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["x"].to_numpy())
+                error = (1 / (1 + np.exp(-(x @ w + b))) - batch["y"]) * batch["weight"]
+                total += np.append(x.T @ error, error.sum())
+                n += len(batch)
+                weight += batch["weight"].sum()
+        yield pd.DataFrame({"g": [total.tolist()], "n": [n], "weight": [weight]})
+
+    parts = vectors.mapInPandas(partial, "g array<double>, n long, weight double")
+    sums = parts.agg(
+        *[F.sum(F.get("g", i)).alias(f"g{i}") for i in range(len(w) + 1)], F.sum("n").alias("n"),
+        F.sum("weight").alias("weight"),
+    ).first()
+    mean = np.array(sums[: len(w) + 1]) / sums["weight"]
+    return mean + np.append(w, 0.0) / (C * sums["n"])
+
+
 def fit_forest(
     df: DataFrame,
     features: Sequence[str],
@@ -192,14 +248,30 @@ def fit_forest(
     trees: int = FOREST_TREES,
     depth: int = FOREST_DEPTH,
     name: str = "random_forest",
+    key: str | None = None,
+    max_fit_rows: int | None = None,
 ) -> Bundle:
-    """Random forest on unscaled features with balanced class weights."""
+    """Random forest on unscaled features with balanced class weights.
+
+    With `max_fit_rows` (and a `key`) at most so many rows are fitted on, each class in proportion.
+    """
+    df, notes = _bounded(df, key, label, max_fit_rows)
     stages, names = input_stages(df, features)
     model = RandomForestClassifier(
         featuresCol="assembled", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
         featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=False,
     ).fit(_run(stages, with_class_weight(df, label)))
-    return _bundle(name, names, [*stages, model], ["probability"])
+    return _bundle(name, names, [*stages, model], ["probability"], notes=notes)
+
+
+def _bounded(df: DataFrame, key: str | None, label: str, max_fit_rows: int | None) -> tuple[DataFrame, dict]:
+    """The rows to fit on, and their number if it was bounded."""
+    if max_fit_rows is None:
+        return df, {}
+    if key is None:
+        raise ValueError("max_fit_rows needs a key to choose rows by")
+    rows = fit_sample(df, key, label, max_fit_rows, SEED)
+    return rows, {"fit_rows": rows.count()}
 
 
 def fit_calibrated_svm(
@@ -215,14 +287,15 @@ def fit_calibrated_svm(
     """Balanced linear SVM per fold, its margin mapped to a probability on the fold left out.
 
     The sigmoid is fitted to smoothed targets (Platt): a fractional target t is a row of each
-    class with weights t and 1 - t. The score is the mean over the folds. `parallel` folds are
-    fitted at a time, each holding its rows in executor memory and disk.
+    class with weights t and 1 - t. The score is the mean over the folds, each of which has its
+    share of both classes. `parallel` folds are fitted at a time, each holding its rows in executor
+    memory and disk. The loss is the plain hinge.
     """
     n = df.count()
     stages, names = _vectors(df, features, n, scale=True, center=False)
-    fold = F.conv(F.substring(split_hash(key, SEED), 1, 8), 16, 10).cast("bigint") % folds
-    rows = _run(stages, with_class_weight(df, label)).select(
-        F.col("vector"), F.col(label).alias("_y"), "weight", fold.alias("_fold")
+    folded = stratified_folds(df, key, label, folds, "_fold", SEED)
+    rows = _run(stages, with_class_weight(folded, label)).select(
+        F.col("vector"), F.col(label).alias("_y"), "weight", "_fold"
     )
     sizes = {r["_fold"]: r for r in rows.groupBy("_fold").agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
@@ -267,18 +340,25 @@ def fit_mlp(
     scale: bool = True,
     before: Sequence[Transformer] = (),
     name: str = "mlp_classifier",
+    key: str | None = None,
+    max_fit_rows: int | None = None,
+    width: int | None = None,
 ) -> Bundle:
-    """Multilayer perceptron on standardised features, or on those the `before` stages leave."""
+    """Multilayer perceptron on standardised features, or on those the `before` stages leave.
+
+    Every iteration reads every row. With `max_fit_rows` (and a `key`) at most so many rows are
+    fitted on, each class in proportion. `width` is the vector's length where features are vectors.
+    """
+    df, notes = _bounded(df, key, label, max_fit_rows)
     n = df.count() if scale else 0
     prepared = _run(before, df)
     stages, names = _vectors(prepared, features, n, scale, center=True)
     vectors = _run(stages, prepared)
-    width = vectors.select("vector").first()["vector"].size
     model = MultilayerPerceptronClassifier(
-        featuresCol="vector", labelCol=label, layers=[width, *hidden, 2], maxIter=iterations,
+        featuresCol="vector", labelCol=label, layers=[width or len(names), *hidden, 2], maxIter=iterations,
         seed=SEED, blockSize=256,
     ).fit(vectors.select("vector", label))
-    return _bundle(name, names, [*before, *stages, model], ["probability"])
+    return _bundle(name, names, [*before, *stages, model], ["probability"], notes=notes)
 
 
 def fit_balanced_mlp(
@@ -291,11 +371,18 @@ def fit_balanced_mlp(
     exact: bool = True,
     quartiles_from: DataFrame | None = None,
     name: str = "mlp_classifier",
+    max_fit_rows: int | None = None,
 ) -> Bundle:
     """Perceptron on robustly scaled features, the minority class drawn up to the majority.
 
-    `quartiles_from` is the same rows as `assembled` leaves them, if those are at hand.
+    `quartiles_from` is the same rows as `assembled` leaves them, if those are at hand. The rows are
+    bounded by `max_fit_rows` before any are drawn again.
     """
+    if max_fit_rows is not None:
+        quartiles_from = None
+    df, notes = _bounded(df, key, label, max_fit_rows)
+    if "history_terms" in df.columns:
+        df = align_inputs(df, features, [c for c in (key, label) if c not in features])
     vector = None if quartiles_from is None else vector_to_array("assembled")
     robust = RobustScale.fit(df if vector is None else quartiles_from, features, exact, vector)
     stage, columns = robust_stage(robust)
@@ -303,7 +390,7 @@ def fit_balanced_mlp(
     fitted = fit_mlp(
         balanced, columns, label, hidden, iterations, scale=False, before=[stage], name=name
     )
-    fitted.features = list(features)
+    fitted.features, fitted.inputs, fitted.notes = list(features), list(features), notes
     return fitted
 
 
@@ -357,7 +444,8 @@ def fit_history_latent(df: DataFrame, k: int = HISTORY_LATENTS, output: str = "h
 
 def fit_on_latents(
     df: DataFrame, latents: Sequence[Latent], label: str, hidden: Sequence[int] | None = None,
-    name: str = "latent",
+    name: str = "latent", iterations: int = MLP_ITERATIONS,
+    key: str | None = None, max_fit_rows: int | None = None,
 ) -> Bundle:
     """A classifier on one or more latent vectors side by side: logistic regression, or a
     perceptron if `hidden` is given."""
@@ -368,10 +456,13 @@ def fit_on_latents(
     if hidden is None:
         head = fit_logreg(encoded, columns, label, scale=False, name=name)
     else:
-        head = fit_mlp(encoded, columns, label, hidden, scale=False, name=name)
+        head = fit_mlp(
+            encoded, columns, label, hidden, iterations, scale=False, name=name, key=key,
+            max_fit_rows=max_fit_rows, width=sum(latent.k for latent in latents),
+        )
     stages = [s for latent in latents for s in _own_columns(latent)] + list(head.pipeline.stages)
     names = [f"{latent.output}_{i}" for latent in latents for i in range(latent.k)]
-    return Bundle(name, names, PipelineModel(stages), head.outputs, head.kind)
+    return Bundle(name, names, PipelineModel(stages), head.outputs, head.kind, head.notes)
 
 
 def _own_columns(latent: Latent) -> list[Transformer]:
@@ -489,12 +580,15 @@ def slug(name: str) -> str:
 
 
 def save_bundles(bundles: Sequence[Bundle], path: str) -> None:
-    """Stages, feature list and score rule of each model below one folder."""
+    """Stages, feature and input lists and score rule of each model below one folder."""
     spark = SparkSession.active()
     for b in bundles:
         b.pipeline.write().overwrite().save(f"{path}/stages/{slug(b.name)}")
-        card = [(b.name, b.kind, b.outputs, b.features)]
-        schema = "name string, kind string, outputs array<string>, features array<string>"
+        card = [(b.name, b.kind, b.outputs, b.features, b.inputs)]
+        schema = (
+            "name string, kind string, outputs array<string>, features array<string>,"
+            " inputs array<string>"
+        )
         spark.createDataFrame(card, schema).coalesce(1).write.mode("overwrite").parquet(
             f"{path}/cards/{slug(b.name)}"
         )
@@ -507,6 +601,6 @@ def load_bundles(spark: SparkSession, path: str) -> list[Bundle]:
         raise FileNotFoundError(f"no models below {path}")
     return [
         Bundle(c["name"], list(c["features"]), PipelineModel.load(f"{path}/stages/{slug(c['name'])}"),
-               list(c["outputs"]), c["kind"])
+               list(c["outputs"]), c["kind"], inputs=list(c["inputs"]))
         for c in cards
     ]

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sessionloom import schemas as S
-from sessionloom.checks.modelling import FAMILY, LABEL, QUERY_HIDDEN
+from sessionloom.checks.modelling import FAMILY, LABEL
 from sessionloom.operators import evaluate as E
 from sessionloom.operators import features as V
 from sessionloom.operators import models as M
@@ -114,7 +114,7 @@ def test_saved_models_score_the_same(spark, compact, logreg, tmp_path):
 
 
 def test_train_all_then_evaluate(spark, wide, tmp_path):
-    bundles, metrics = T.train_all(wide, trees=5, mlp_hidden=QUERY_HIDDEN, mlp_iterations=10)
+    bundles, metrics = T.train_all(wide, trees=5, mlp_hidden=(64, 32), mlp_iterations=10)
     rows = metrics.collect()
     assert len(rows) == 4 and {r.tp + r.fp + r.tn + r.fn for r in rows} == {200}
     assert not set(S.LEAKY_FEATURES) & set(bundles[0].features) and len(bundles[0].features) == 293
