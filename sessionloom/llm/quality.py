@@ -34,7 +34,7 @@ from sessionloom.llm import blocks as B
 from sessionloom.llm.decontaminate import MARKS, UPPER_TO_LOWER
 
 BITS = 40
-MAX_FIT_ROWS = 12_000
+MAX_FIT_ROWS = 6_000
 PREFIX = 5
 #: A feature that fewer rated documents have is not given a weight.
 LEAST_DOCUMENTS = 3
