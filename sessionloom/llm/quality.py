@@ -9,7 +9,7 @@ capitals, of marks, of repeated words, ...), each hashed to `BITS` bits.
 The fit sees at most `max_fit_rows` rated documents, an equal share of each grade as far as there are
 so many, chosen by the hash of their ids; this bound is the only one. It runs on the driver over the
 features of those rows: proximal gradient steps on the likelihood, each grade weighing as
-the root of its rows, with an absolute penalty that leaves most weights at zero. Words that say nothing then add no
+the root of all its rated rows, with an absolute penalty that leaves most weights at zero. Words that say nothing then add no
 noise to long texts. The few weights left go to the tasks, and all documents are scored in
 one pass without a shuffle.
 
@@ -133,13 +133,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_ordinal(number: np.ndarray, at: np.ndarray, grade: np.ndarray, penalty: float = PENALTY) -> OrdinalModel:
-    """Fit on texts' features (as `features` gives them) and their grades."""
+def fit_ordinal(
+    number: np.ndarray, at: np.ndarray, grade: np.ndarray, sizes: dict[int, int] | None = None,
+    penalty: float = PENALTY,
+) -> OrdinalModel:
+    """Fit on texts' features (as `features` gives them) and their grades.
+
+    `sizes` says how many rated documents of each grade there are, if the texts are a sample.
+    """
     grades, y = np.unique(grade, return_inverse=True)
     if len(grades) < 2:
         return OrdinalModel(np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
     size = np.bincount(y)
-    weight = (1.0 / np.sqrt(size))[y]
+    whole = size if sizes is None else np.array([sizes[int(g)] for g in grades])
+    weight = (np.sqrt(whole) / size)[y]
     weight /= weight.sum()
     columns, code, n = np.unique(number, return_inverse=True, return_counts=True)
     kept = n >= LEAST_DOCUMENTS
@@ -190,8 +197,8 @@ def _features_of_rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def rated_features(
     docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, max_fit_rows: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and grades of the chosen rated documents. `ratings`: (id, grade)."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+    """Features and grades of the chosen rated documents, and all grades' sizes. `ratings`: (id, grade)."""
     rated = ratings.filter("id is not null and grade is not null").groupBy("id").agg(F.max("grade").alias("grade"))
     sizes = {r.grade: r.n for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     each = max_fit_rows // max(1, len(sizes))
@@ -206,7 +213,7 @@ def rated_features(
     )
     number = np.concatenate([np.frombuffer(r.features, np.int64) for r in found] or [np.zeros(0, np.int64)])
     at = np.cumsum([0, *(len(r.features) // 8 for r in found)])
-    return number, at, np.array([r.grade for r in found], np.int64)
+    return number, at, np.array([r.grade for r in found], np.int64), sizes
 
 
 def _score(model: OrdinalModel, text_at: int, kept: list[int]):
