@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,11 +178,28 @@ def q_pk_violations(spark, d):
     return Q.pk_violations(X.conn(spark, d), ["id_orig_h", "id_resp_h"])
 
 
+#: Child table and column, parent table and column. All keys of the normalised tables, and two pairs
+#: of given tables, the first of which has orphans.
+FOREIGN_KEYS = [
+    *[(t, "uid", "session", "uid") for t in S.SATELLITES],
+    ("session_service", "uid", "session", "uid"), ("session_service", "svc_id", "service", "svc_id"),
+    ("session_label", "uid", "session", "uid"), ("session_label", "label_id", "label", "label_id"),
+    ("tunnel_parent", "child_uid", "session", "uid"), ("tunnel_parent", "parent_uid", "session", "uid"),
+    ("session_history", "uid", "session", "uid"), ("session_history", "history_id", "history_legend", "id"),
+    ("documents", "doc_id", "labels", "doc_id"), ("labels", "doc_id", "documents", "doc_id"),
+]
+
+
 def q_fk_violations(spark, d):
-    """Tunnel edges against the sessions of one capture."""
-    raw = X.conn(spark, d)
-    sessions = raw.filter(F.col("source_file") == "capture_1.csv")
-    return Q.fk_violations(N.build_tunnel_parent(raw), sessions, "parent_uid", "uid")
+    """Every foreign key: the values without a parent row, and how many child rows hold each."""
+    tables = N.build_tables(X.conn(spark, d)) | {n: X.read_table(spark, d, n) for n in ("documents", "labels")}
+    found = [
+        Q.fk_violations(tables[child], tables[parent], key, parent_key).select(
+            F.lit(child).alias("child"), F.lit(key).alias("key"), F.col(key).cast("string").alias("value"), "n"
+        )
+        for child, key, parent, parent_key in FOREIGN_KEYS
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def q_drop_if_present(spark, d):
@@ -275,6 +294,9 @@ _HIGH_NULL = "\nUNION ALL ".join(
 # tunnel_parents, detailed_label and the two local flags are null in more than 0.3 of the rows.
 _SPARSE = ["local_orig", "local_resp", "tunnel_parents", "detailed_label"]
 
+# The legend's name in the SQL. The satellites are selections of the sessions there.
+_SQL_NAMES = {"history_legend": "legend"}
+
 ORACLE = {
     "io_parse_conn_log": O.with_conn(f"SELECT {O.conn_cells()} FROM conn_n"),
     "io_repair_labels": O.with_conn(
@@ -318,11 +340,12 @@ ORACLE = {
         "SELECT id_orig_h, id_resp_h, count(*) AS n FROM conn GROUP BY ALL"
         " HAVING count(*) > 1 OR id_orig_h IS NULL OR id_resp_h IS NULL"
     ),
-    "q_fk_violations": O.with_conn(
-        "SELECT tunnel_parents AS parent_uid, count(*) AS n FROM conn"
-        " WHERE tunnel_parents IS NOT NULL AND tunnel_parents NOT IN"
-        " (SELECT uid FROM conn WHERE source_file = 'capture_1.csv') GROUP BY 1"
-    ),
+    "q_fk_violations": O.with_tables(" UNION ALL ".join(
+        f"SELECT '{child}' AS child, '{key}' AS key, CAST({key} AS VARCHAR) AS value, count(*) AS n FROM"
+        f" {_SQL_NAMES.get(child, child)} WHERE {key} IS NOT NULL AND {key} NOT IN"
+        f" (SELECT {parent_key} FROM {_SQL_NAMES.get(parent, parent)}) GROUP BY 3"
+        for child, key, parent, parent_key in FOREIGN_KEYS if child not in S.SATELLITES
+    )),
     "q_drop_if_present": O.with_conn("SELECT * EXCLUDE (uid, label, history) FROM conn"),
     "n_service_dim": O.with_tables("SELECT * FROM service"),
     "n_label_dim": O.with_tables("SELECT * FROM label"),

@@ -70,11 +70,11 @@ def p_capture_split(spark, d):
     return side(train, "train").unionByName(side(test, "test"))
 
 
-def _scaled(fit):
-    """Fitted on one capture, applied to all."""
+def _scaled(fit, capture=None):
+    """Fitted on all rows, or on one capture, and applied to all."""
 
     def query(spark, d):
-        model = fit(_view(spark, d, "capture_1.csv").select(SCALED), SCALED)
+        model = fit(_view(spark, d, capture).select(SCALED), SCALED)
         out = model.transform(_view(spark, d).select("uid", *SCALED))
         return out.select("uid", *[F.round(c, 6).alias(c) for c in SCALED])
 
@@ -83,6 +83,8 @@ def _scaled(fit):
 
 p_standard_scale = _scaled(StandardScale.fit)
 p_robust_scale = _scaled(RobustScale.fit)
+p_standard_scale_capture = _scaled(StandardScale.fit, "capture_1.csv")
+p_robust_scale_capture = _scaled(RobustScale.fit, "capture_1.csv")
 
 
 def p_class_weights(spark, d):
@@ -126,6 +128,9 @@ QUERIES = {
     ]
 }
 QUERIES |= {"p_standard_scale": p_standard_scale, "p_robust_scale": p_robust_scale}
+QUERIES |= {
+    "p_standard_scale_capture": p_standard_scale_capture, "p_robust_scale_capture": p_robust_scale_capture,
+}
 
 _TV = O.training_cte()
 _ANY = " OR ".join(f"{c} <> 0" for c in S.LABEL_FLAG_COLUMNS if c != "label_attack")
@@ -136,7 +141,11 @@ labelled AS (SELECT uid, source_file, {O.malicious()} FROM session)"""
 _SUM_HISTORY = " + ".join(S.HISTORY_FEATURES)
 
 
-def _scaled_sql(center: str, scale: str) -> str:
+_MEAN = ("avg({c})", "stddev_pop({c})")
+_MEDIAN = ("quantile_cont({c}, 0.5)", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))")
+
+
+def _scaled_sql(center: str, scale: str, rows: str = "true") -> str:
     fitted = ", ".join(
         f"{center.format(c=c)} AS {c}_m, {scale.format(c=c)} AS {c}_s" for c in SCALED
     )
@@ -144,7 +153,7 @@ def _scaled_sql(center: str, scale: str) -> str:
         f"round(({c} - {c}_m) / (CASE WHEN {c}_s = 0 THEN 1 ELSE {c}_s END), 6) AS {c}" for c in SCALED
     )
     return O.with_tables(
-        f"SELECT uid, {out} FROM tv, (SELECT {fitted} FROM tv WHERE source_file = 'capture_1.csv')",
+        f"SELECT uid, {out} FROM tv, (SELECT {fitted} FROM tv WHERE {rows})",
         _TV,
     )
 
@@ -199,10 +208,10 @@ quota AS (
         "SELECT uid, CASE WHEN source_file = 'capture_1.csv' THEN 'train' ELSE 'test' END AS side"
         " FROM conn WHERE source_file IN ('capture_1.csv', 'capture_2.csv')"
     ),
-    "p_standard_scale": _scaled_sql("avg({c})", "stddev_pop({c})"),
-    "p_robust_scale": _scaled_sql(
-        "quantile_cont({c}, 0.5)", "(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"
-    ),
+    "p_standard_scale": _scaled_sql(*_MEAN),
+    "p_robust_scale": _scaled_sql(*_MEDIAN),
+    "p_standard_scale_capture": _scaled_sql(*_MEAN, "source_file = 'capture_1.csv'"),
+    "p_robust_scale_capture": _scaled_sql(*_MEDIAN, "source_file = 'capture_1.csv'"),
     "p_class_weights": O.with_tables(
         "SELECT simple_label_encoded, round((SELECT count(*) FROM labelled) /"
         " ((SELECT count(DISTINCT simple_label_encoded) FROM labelled) * count(*)), 6) AS weight"

@@ -78,20 +78,32 @@ def _training_columns() -> list[Column]:
     ]
 
 
-def _with_satellites(session: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def _of_capture(table: DataFrame, capture: str | None) -> DataFrame:
+    """A table's rows of the capture, if it says which those are: a partition filter on stored tables."""
+    if "source_file" not in table.columns:
+        return table
+    return filter_capture(table, capture).drop("source_file")
+
+
+def _of_sessions(table: DataFrame, session: DataFrame, capture: str | None) -> DataFrame:
+    """The rows of the sessions asked for."""
+    if capture is None or "source_file" in table.columns:
+        return _of_capture(table, capture)
+    return table.join(session.select("uid"), "uid", "left_semi")
+
+
+def _with_satellites(session: DataFrame, tables: dict[str, DataFrame], capture: str | None) -> DataFrame:
     """Left joins on `uid`: one shuffle of the sessions serves all of them."""
     joined = session
     for name in ("session_duration", "session_orig_bytes", "session_resp_bytes"):
-        joined = joined.join(tables[name], "uid", "left")
-    services = lookup_join(tables["session_service"], tables["service"], "svc_id")
+        joined = joined.join(_of_capture(tables[name], capture), "uid", "left")
+    services = lookup_join(_of_capture(tables["session_service"], capture), tables["service"], "svc_id")
     return joined.join(services.select("uid", "svc_name"), "uid", "left")
 
 
 def _histories(tables: dict[str, DataFrame], session: DataFrame, capture: str | None) -> DataFrame:
     """History arrays, gathered only for the sessions asked for."""
-    rows = tables["session_history"]
-    if capture is not None:
-        rows = rows.join(session.select("uid"), "uid", "left_semi")
+    rows = _of_sessions(tables["session_history"], session, capture)
     return history_array(rows, tables["history_legend"])
 
 
@@ -100,11 +112,9 @@ def training_view(
 ) -> DataFrame:
     """303 features and 9 labels per session of a capture, from the normalised tables."""
     session = filter_capture(tables["session"], capture)
-    labels = tables["session_label"]
-    if capture is not None:
-        labels = labels.join(session.select("uid"), "uid", "left_semi")
+    labels = _of_sessions(tables["session_label"], session, capture)
     wide = (
-        _with_satellites(session, tables)
+        _with_satellites(session, tables, capture)
         .join(_histories(tables, session, capture), "uid", "left")
         .join(label_string(labels, tables["label"]), "uid", "left")
     )
@@ -154,10 +164,10 @@ def session_full_view(tables: dict[str, DataFrame], capture: str | None = None)
     """All session columns with their encodings, parent and history; 317 columns."""
     session = filter_capture(tables["session"], capture)
     wide = with_tunnel_parent(
-        _with_satellites(session, tables).join(
+        _with_satellites(session, tables, capture).join(
             _histories(tables, session, capture), "uid", "left"
         ),
-        tables["tunnel_parent"],
+        _of_capture(tables["tunnel_parent"], capture),
     )
     return wide.select(_session_columns())
 

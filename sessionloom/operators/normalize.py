@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,54 +57,60 @@ def build_session(raw: DataFrame) -> DataFrame:
     )
 
 
-def build_satellite(raw: DataFrame, col: str) -> DataFrame:
+def build_satellite(raw: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:
     """`(uid, value)` for the sessions that have the value."""
-    return raw.filter(F.col(col).isNotNull()).select("uid", col)
+    return raw.filter(F.col(col).isNotNull()).select("uid", col, *keep)
 
 
-def build_session_service(raw: DataFrame, service: DataFrame) -> DataFrame:
-    sessions = raw.filter(F.col("service").isNotNull()).select("uid", F.col("service").alias("svc_name"))
-    return lookup_join(sessions, service, "svc_name").select("uid", "svc_id")
+def build_session_service(raw: DataFrame, service: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    named = F.col("service").alias("svc_name")
+    sessions = raw.filter(F.col("service").isNotNull()).select("uid", named, *keep)
+    return lookup_join(sessions, service, "svc_name").select("uid", "svc_id", *keep)
 
 
-def build_session_label(raw: DataFrame, label: DataFrame, on: str = "detailed_label") -> DataFrame:
+def build_session_label(
+    raw: DataFrame, label: DataFrame, on: str = "detailed_label", keep: Sequence[str] = ()
+) -> DataFrame:
     """Sessions to label names. `on="label"` joins the simple label instead, which rarely
     equals a name in the dimension of detailed labels."""
-    sessions = raw.filter(F.col(on).isNotNull()).select("uid", F.col(on).alias("label_name"))
-    return lookup_join(sessions, label, "label_name").select("uid", "label_id")
+    sessions = raw.filter(F.col(on).isNotNull()).select("uid", F.col(on).alias("label_name"), *keep)
+    return lookup_join(sessions, label, "label_name").select("uid", "label_id", *keep)
 
 
-def build_tunnel_parent(raw: DataFrame) -> DataFrame:
+def build_tunnel_parent(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return raw.filter(F.col("tunnel_parents").isNotNull()).select(
-        F.col("uid").alias("child_uid"), F.col("tunnel_parents").alias("parent_uid")
+        F.col("uid").alias("child_uid"), F.col("tunnel_parents").alias("parent_uid"), *keep
     )
 
 
-def build_session_history(raw: DataFrame, legend: DataFrame) -> DataFrame:
+def build_session_history(raw: DataFrame, legend: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per history character that is in the legend; `index` is 0-based."""
     codes = raw.filter(F.col("history").isNotNull()).select(
-        "uid", F.posexplode(F.split("history", "")).alias("index", "code")
+        "uid", *keep, F.posexplode(F.split("history", "")).alias("index", "code")
     )
     keys = lookup_join(codes.filter(F.col("code") != ""), legend.select("id", "code"), "code")
-    return keys.select("uid", "index", F.col("id").alias("history_id"))
+    return keys.select("uid", "index", F.col("id").alias("history_id"), *keep)
 
 
 def build_tables(
-    raw: DataFrame, legend: str = "literal", label_on: str = "detailed_label"
+    raw: DataFrame, legend: str = "literal", label_on: str = "detailed_label", keep: Sequence[str] = ()
 ) -> dict[str, DataFrame]:
-    """Every normalised table of a raw relation, by name."""
+    """Every normalised table of a raw relation, by name.
+
+    The tables with a row per session also get the columns `keep` of the raw relation.
+    """
     codes = history_legend(raw.sparkSession, legend)
     service, label = build_service(raw), build_label(raw)
     tables = {"session": build_session(raw)}
-    tables |= {name: build_satellite(raw, col) for name, col in S.SATELLITES.items()}
+    tables |= {name: build_satellite(raw, col, keep) for name, col in S.SATELLITES.items()}
     tables |= {
         "service": service,
-        "session_service": build_session_service(raw, service),
+        "session_service": build_session_service(raw, service, keep),
         "label": label,
-        "session_label": build_session_label(raw, label, label_on),
-        "tunnel_parent": build_tunnel_parent(raw),
+        "session_label": build_session_label(raw, label, label_on, keep),
+        "tunnel_parent": build_tunnel_parent(raw, keep),
         "history_legend": codes,
-        "session_history": build_session_history(raw, codes),
+        "session_history": build_session_history(raw, codes, keep),
     }
     return tables
 

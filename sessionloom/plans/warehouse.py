@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sessionloom.operators.normalize import build_tables, unique_sessions
 from sessionloom.sources.tables import write_parquet
 
-PARTITIONED_BY = {"session": ["source_file"]}
+#: The tables that describe no session and so belong to no capture.
+SHARED_TABLES = {"service", "label", "history_legend"}
 
 
 def rebuild(
@@ -19,15 +20,21 @@ def rebuild(
 ) -> dict[str, DataFrame]:
     """Write every normalised table anew; the outcome does not depend on what was there.
 
-    Returns the written tables, so that whatever follows reads narrow columnar files.
+    The raw relation is read once and kept as `raw`, typed and columnar; each table then reads the
+    few columns it needs. `raw` and the tables with a row per session are partitioned by capture, so a view
+    of one capture reads that capture's folders alone. Returns the written tables, without `raw`.
     """
-    raw = unique_sessions(raw, on_duplicate)
+    typed = _replace(raw, f"{out_dir}/{RAW}", ["source_file"])
+    tables = build_tables(unique_sessions(typed, on_duplicate), legend, label_on, ["source_file"])
     return {
-        name: _replace(table, f"{out_dir}/{name}", PARTITIONED_BY.get(name, []))
-        for name, table in build_tables(raw, legend, label_on).items()
+        name: _replace(table, f"{out_dir}/{name}", [] if name in SHARED_TABLES else ["source_file"])
+        for name, table in tables.items()
     }
 
 
+RAW = "raw"
+
+
 def _replace(df: DataFrame, path: str, partition_by: list[str]) -> DataFrame:
     write_parquet(df, path, partition_by)
     # The schema is given because a partitioned table without rows has no file to infer it from.

@@ -67,6 +67,15 @@ def test_rebuild_twice_equals_once(spark, raw, tmp_path):
     assert set(W.open_tables(spark, str(tmp_path))) == set(again)
 
 
+def test_a_view_of_one_capture_reads_that_capture_alone(spark, raw, tmp_path):
+    tables = W.rebuild(raw, str(tmp_path))
+    view = Fe.training_view(tables, "capture_2.csv", keep=["uid"])
+    assert same(view, Fe.training_view_fused(raw, "capture_2.csv", keep=["uid"]))
+    scans = [x for x in view._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    parts = [x for x in scans if "/service]" not in x and "/label]" not in x and "/history_legend]" not in x]
+    assert len(parts) >= 6 and all("PartitionFilters: [isnotnull(source_file" in x for x in parts)
+
+
 def test_lookup_join_beyond_its_bound(spark, monkeypatch):
     left = spark.range(200).select((F.col("id") % 40).alias("k"))
     right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
