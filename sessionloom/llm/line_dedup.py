@@ -1,12 +1,17 @@
 """Line dedup by content-defined chunks of lines.
 
 A document's lines are cut into chunks where a rolling hash over the hashes of the last `WINDOW` lines
-hits a fixed pattern, on average every `MEAN_LINES` lines. Boundaries depend on the lines around them
-alone, so the same passage is cut in the same way wherever it stands, whatever was inserted
-before it. A chunk of two or more lines that occurs more than once in all documents stays only where it
-occurs first (by document id, then by place); the other occurrences are removed.
+hits a fixed pattern, on average every `MEAN_LINES` lines. Of pattern hits on consecutive lines only the first
+cuts, and none cuts off a document's last line, so every chunk has two lines or more, unless the document has
+one. Boundaries depend on the lines around them alone, so the same passage is cut in the same way wherever
+it stands, whatever was inserted before it. A chunk of two or more lines that occurs more than once in all
+documents stays only where it occurs first (by document id, then by place); the other occurrences are removed.
 
-The whole bytes of chunks are compared. Each block sends every distinct chunk once, compressed, to the
+On a second, finer level the shortest runs of at most `RUN_LINES` lines with `RUN_WORDS` words or more, from each
+line forwards and backwards, are treated alike. So a repeated passage of long lines is found line by line,
+wherever chunks begin and end. Runs overlap; the first occurrence of every line stays in any case.
+
+The whole bytes of chunks and runs are compared. Each block sends every distinct one once, compressed, to the
 group of the chunk's hash, where equal hashes are settled byte by byte; copies inside the block are settled
 there. A chunk that a third of all documents share thus reaches its group once per block.
 
@@ -33,6 +38,8 @@ from sessionloom.session import scratch_path
 
 WINDOW = 2
 MEAN_LINES = 3
+RUN_LINES = 3
+RUN_WORDS = 50
 GROUPS = 4
 NEWLINE = np.zeros(256, bool)
 NEWLINE[10] = True
@@ -55,13 +62,15 @@ class Chunks:
             rolling[k:] += line[: n - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
         place = np.arange(n) - self.line_at[doc] if n else np.zeros(0, np.int64)
         cut = (B.mix(rolling) % np.uint64(mean_lines) == 0) & (place >= window - 1)
+        again = np.zeros(n, bool)
+        again[1:] = cut[:-1] & (place[1:] > 0)
+        cut &= ~again & (place + 2 != np.diff(self.line_at)[doc])
         new = np.ones(n, bool)
         new[1:] = cut[:-1] | (doc[1:] != doc[:-1])
         self.first = np.flatnonzero(new)
         self.last = np.append(self.first[1:], n) - 1 if n else self.first
-        self.doc = doc[self.first]
+        self.line_doc = doc
         begin, stop = self.start[self.first], self.end[self.last]
-        self.hash = B.span_hashes(self.data, begin, stop)
         dark = np.concatenate(([0], np.cumsum(~B.WHITE[self.data])))
         self.counts = (self.last > self.first) & (dark[stop] > dark[begin])
         self.begin, self.stop = begin, stop
@@ -69,24 +78,62 @@ class Chunks:
     def bytes(self, k: int) -> bytes:
         return self.data[self.begin[k] : self.stop[k]].tobytes()
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last line of the shortest runs with enough words that begin or end at each line."""
+        starts, _ = B.word_bounds(self.data)
+        words = np.searchsorted(starts, np.append(self.start, len(self.data)))
+        line, doc = np.arange(len(self.start)), self.line_doc
+        found = []
+        for step in (1, -1):
+            open_ = line
+            for k in range(RUN_LINES):
+                far = open_ + step * k
+                open_ = open_[(far >= 0) & (far < len(line))]
+                open_ = open_[doc[open_ + step * k] == doc[open_]]
+                first, last = np.minimum(open_, open_ + step * k), np.maximum(open_, open_ + step * k)
+                enough = words[last + 1] - words[first] >= RUN_WORDS
+                found.append((first[enough], last[enough]))
+                open_ = open_[~enough]
+        return np.concatenate([f for f, _ in found]), np.concatenate([x for _, x in found])
+
 
 class Plan:
-    """A block's chunks: what is sent (`head`, by group) and which chunks are copies of it in the block."""
+    """A block's chunks and runs: what is sent, by group, and which are copies of it in the block."""
 
     def __init__(self, texts: list[bytes], groups: int):
         self.chunks = c = Chunks(texts)
-        at = np.flatnonzero(c.counts)
+        first, last = c.runs()
+        first, last = np.append(c.first[c.counts], first), np.append(c.last[c.counts], last)
+        order = np.lexsort((last, first))
+        first, last = first[order], last[order]
+        new = np.ones(len(first), bool)
+        new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
+        self.first, self.last = first[new], last[new]
+        self.doc = c.line_doc[self.first]
+        self.begin, self.stop = c.start[self.first], c.end[self.last]
+        self.hash = B.span_hashes(c.data, self.begin, self.stop)
         heads: dict[tuple[int, bytes], int] = {}
-        self.copy = np.zeros(len(c.first), bool)
-        _, inverse, n = np.unique(c.hash[at], return_inverse=True, return_counts=True)
+        self.copy = np.zeros(len(self.first), bool)
+        at = np.arange(len(self.first))
+        _, inverse, n = np.unique(self.hash, return_inverse=True, return_counts=True)
         for k in at[n[inverse] > 1]:
-            key = (int(c.hash[k]), c.bytes(k))
+            key = (int(self.hash[k]), self.bytes(k))
             self.copy[k] = heads.setdefault(key, k) != k
         sent = at[~self.copy[at]]
-        group = (B.mix(c.hash[sent] ^ np.uint64(7)) % np.uint64(groups)).astype(np.int64)
+        group = (B.mix(self.hash[sent] ^ np.uint64(7)) % np.uint64(groups)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         self.sent, self.group = sent[order], group[order]
 
+    def bytes(self, k: int) -> bytes:
+        return self.chunks.data[self.begin[k] : self.stop[k]].tobytes()
+
+    def lines(self, gone: np.ndarray) -> np.ndarray:
+        """Which lines belong to a chunk or run of `gone`."""
+        cover = np.zeros(len(self.chunks.start) + 1, np.int64)
+        np.add.at(cover, self.first[gone], 1)
+        np.add.at(cover, self.last[gone] + 1, -1)
+        return np.cumsum(cover[:-1]) > 0
+
 
 def _send(groups: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +141,11 @@ def _send(groups: int):
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids, texts, _ = B.unpack(data.as_py())
                 plan = Plan(texts, groups)
-                c = plan.chunks
                 cut = np.flatnonzero(np.diff(plan.group, prepend=-1))
                 sent = []
                 for i, j in zip(cut, np.append(cut[1:], len(plan.sent))):
                     own = plan.sent[i:j]
-                    packed = B.pack((c.hash[own], ids[c.doc[own]], own, [c.bytes(k) for k in own]))
+                    packed = B.pack((plan.hash[own], ids[plan.doc[own]], own, [plan.bytes(k) for k in own]))
                     sent.append((int(plan.group[i]), packed))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -152,7 +198,7 @@ def _remove(groups: int, text_col: str, columns: list[str]):
                 gone = plan.copy.copy()
                 for r in replies or []:
                     gone[plan.sent[plan.group == r["group"]]] |= B.unpack(r["hits"])
-                lines = np.repeat(gone, c.last - c.first + 1)
+                lines = plan.lines(gone)
                 keep = np.repeat(~lines, c.end - c.start + 1)
                 out = c.data[keep].tobytes()
                 at = np.concatenate(([0], np.cumsum(keep)))[c.at]

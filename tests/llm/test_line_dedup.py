@@ -66,3 +66,24 @@ def test_repeated_and_null_ids(spark):
     got = sorted((r.doc_id is None, r.n_removed) for r in dedup_lines(df).collect())
     multi = sum(c.count("\n") + 1 for c in chunks(text) if "\n" in c)
     assert got == [(False, 0), (False, multi), (True, multi)]
+
+
+def test_no_chunk_of_one_line():
+    r = random.Random(3)
+    for n in range(2, 60):
+        assert all("\n" in c for c in chunks("\n".join(f"line {r.random()}" for _ in range(n))))
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 2000])
+def test_long_repeated_passages_go_whole(spark, block_bytes):
+    """Passages of over 50 words on one to three lines, in the middle of other text."""
+    r = random.Random(8)
+    line = lambda n: " ".join(f"w{r.randrange(9000)}" for _ in range(n))
+    passages = [[line(55)], [line(30), line(30)], [line(20), line(20), line(20)], [line(60), line(5)], [line(26) for _ in range(6)]]
+    rows, want = [], {}
+    for i in range(40):
+        before, after = [line(12) for _ in range(3)], [line(12) for _ in range(2)]
+        rows.append((i, "\n".join([*before, *passages[i % 5], *after])))
+        want[i] = "\n".join([*before, *(passages[i % 5] if i < 5 else []), *after])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.text for x in dedup_lines(df, block_bytes=block_bytes).collect()} == want
