@@ -71,10 +71,13 @@ def _tokenizer(path: str) -> Tokenized:
 
 
 def _split_tails(words: pa.Array) -> tuple[pa.Array, list[str]]:
-    """Words without the marks at their end, and these, which are tokens of their own after a letter or digit."""
+    """Words without the marks at their end, and these, which are tokens of their own after a letter or digit.
+
+    Only after an ASCII one: others may end in something else once the tokenizer has normalised them.
+    """
     stem = pc.utf8_rtrim(words, characters=TAIL)
     apart = pc.and_(
-        pc.and_(pc.match_substring_regex(stem, r"[\pL\pN]$"), pc.not_equal(stem, words)),
+        pc.and_(pc.match_substring_regex(stem, "[a-z0-9]$"), pc.not_equal(stem, words)),
         pc.invert(pc.match_substring(words, "<|")),
     )
     cut = np.flatnonzero(apart.to_numpy(zero_copy_only=False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.decontaminate import contaminated, find_contamination, n_hit
@@ -111,12 +111,14 @@ def op9_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _n_spans(order: int) -> Column:
+    """How many spans come from the rule with this number."""
+    return F.size(F.filter("found", lambda s: s["order"] == order)).cast("long")
+
+
 def op10_result(found: DataFrame) -> DataFrame:
     spans = rendered(F.col("found"))
-    counts = [
-        F.size(F.filter("found", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{r.kind}")
-        for k, r in enumerate(RULES)
-    ]
+    counts = [_n_spans(order).alias(f"n_{r.kind}") for order, r in enumerate(RULES)]
     return found.select(
         F.col("id").alias("doc_id"), *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans")
     )

@@ -124,19 +124,28 @@ def trigram_index(docs: DataFrame, id_col: str, text_col: str, trigrams: list[st
 def candidates(index: DataFrame, queries: dict[str, set[frozenset[str]]]) -> DataFrame:
     """(id, kinds): the kinds whose query the postings of a document satisfy.
 
-    Postings are intersected as bit sets per document, which are combined before the shuffle.
+    Postings are intersected as bit sets per document, which are combined before the shuffle. A set is
+    as many words of 63 bits as the rules' trigrams need.
     """
     names = sorted({t for q in queries.values() for a in q for t in a})
-    if len(names) > 63:
-        raise ValueError("more than 63 mandatory trigrams; scan with fewer rules at a time")
-    bit = {t: 1 << i for i, t in enumerate(names)}
-    number = F.create_map(*[F.lit(x) for t in names for x in (t, bit[t])])
-    held = index.groupBy("id").agg(F.bit_or(number[F.col("trigram")]).alias("held"))
-    kinds = []
-    for kind, query in queries.items():
-        whole = [sum(bit[t] for t in a) for a in query]
-        met = reduce(lambda a, b: a | b, [F.col("held").bitwiseAND(w) == w for w in whole])
-        kinds.append(F.when(met, F.lit(kind)))
+    place = {t: divmod(i, 63) for i, t in enumerate(names)}
+
+    def bits(word: int) -> Column:
+        own = [x for t in names if place[t][0] == word for x in (F.lit(t), F.lit(1 << place[t][1]))]
+        return F.coalesce(F.create_map(*own)[F.col("trigram")], F.lit(0))
+
+    words = range(-(-len(names) // 63))
+    held = index.groupBy("id").agg(*[F.bit_or(bits(w)).alias(f"held_{w}") for w in words])
+
+    def holds(alternative: frozenset[str]) -> Column:
+        wanted = {}
+        for word, bit in (place[t] for t in alternative):
+            wanted[word] = wanted.get(word, 0) | 1 << bit
+        return reduce(lambda a, b: a & b, [F.col(f"held_{w}").bitwiseAND(v) == v for w, v in wanted.items()])
+
+    kinds = [
+        F.when(reduce(lambda a, b: a | b, map(holds, query)), F.lit(kind)) for kind, query in queries.items()
+    ]
     return held.select("id", F.filter(F.array(*kinds), lambda k: k.isNotNull()).alias("kinds")).filter(
         F.size("kinds") > 0
     )

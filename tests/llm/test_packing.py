@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from unicodedata import normalize
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ pytest.importorskip("public_tokenizers")
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from sessionloom.llm.packing import pack_documents, shortest_pack_first  # noqa: E402
+from sessionloom.llm.packing import TAIL, _tokenizer, pack_documents, shortest_pack_first, token_ids  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,6 +30,32 @@ def test_patterns_use_every_piece_once():
     assert shortest_pack_first({9: 1, 6: 1, 2: 1}, 10) == [(((9, 1),), 1), (((6, 1), (2, 1)), 1)]
 
 
+def odd_letters():
+    """Code points that change when lowered or composed."""
+    for c in map(chr, range(128, 0x110000)):
+        if not 0xD800 <= ord(c) < 0xE000 and (c.lower() != c or normalize("NFC", c) != c):
+            yield c
+
+
+def same_ids(texts):
+    tokenizer = Tokenizer.from_file(PATH)
+    ids, at = token_ids([t.encode() for t in texts], _tokenizer(PATH))
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return [t for t, i, j, w in zip(texts, at, at[1:], want) if ids[i:j].tolist() != w]
+
+
+def test_ids_of_odd_letters_beside_marks():
+    letters = [*odd_letters(), "\u0130", "\u00df", "\u01c5", "\u0345"]
+    for mark in [*TAIL, "!?"]:
+        assert same_ids([t for c in letters for t in (c + mark, f"a{c}{mark}", mark + c, f"{c}a{mark}{c}")]) == []
+
+
+def test_ids_of_random_texts():
+    r = random.Random(6)
+    bits = ["\u0130", "\u0131", "\u00df", "\u1e9e", "\u03a3", "\u0149", "\u01f0", "\u0345", "\u00e9", "e\u0301", "a", "Z", "7", "\u00b2", "'s", " ", "\n", "\u00a0", *TAIL]
+    assert same_ids(["".join(r.choices(bits, k=r.randint(0, 12))) for _ in range(10_000)]) == []
+
+
 @pytest.mark.parametrize("length", [2048, 32])
 def test_round_trip(spark, length):
     r = random.Random(1)

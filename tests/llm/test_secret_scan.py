@@ -22,6 +22,32 @@ def brute(text):
     return sorted(out)
 
 
+def counts(text):
+    return tuple(sum(x[1] == k for x in brute(text)) for k in range(3))
+
+
+def test_counts_of_single_kinds_and_of_several_of_one_kind(spark):
+    key, run = "AKIA" + "A1B2" * 5, "0f" * 15
+    rows = [
+        ("token=abcdef token=ghijkl", (2, 0, 0)), (run, (0, 0, 1)), (key, (0, 1, 0)), (f"{key} {key} {key}", (0, 3, 0)),
+        (f"{run} {run}", (0, 0, 2)), (f"{run} secret: abcdefg {key} {run} {key}", (1, 2, 2)), ("", (0, 0, 0)), (None, (0, 0, 0)),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in op10_result(S.scan_secrets(df)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+
+
+def test_many_mandatory_trigrams(spark):
+    """More trigrams than one word of bits holds."""
+    words = [f"{a}{b}marker" for a in "bcdfghjk" for b in "qwrtzpxv"]
+    rules = [S.Rule(w, w) for w in words]
+    assert len({t for w in words for t in S._trigrams(w)}) > 63
+    rows = [(i, f"{w} {words[-1 - i]}") for i, w in enumerate(words)] + [(99, "bqmarke"), (98, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: {rules[s.order].kind for s in r.found} for r in S.scan_secrets(df, rules=rules).collect()}
+    assert got == {i: {w for w in words if w in (t or "")} for i, t in rows}
+
+
 def test_trigram_queries():
     assert S.trigram_query(r"AKIA[A-Z0-9]{16,}") == {frozenset({"aki", "kia"})}
     assert S.trigram_query(r"[0-9a-f]{24,}") == set()
@@ -46,6 +72,9 @@ def test_equals_brute_force(spark):
     got = [(r.id, [(s.start, s.order, s.end) for s in r.found]) for r in found.collect()]
     want = [(i, [x[:3] for x in brute(t)]) for i, t in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
-    texts = {r.doc_id: r.spans for r in op10_result(found).collect()}
+    result = op10_result(found).collect()
+    counted = [(r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in result]
+    assert sorted(counted, key=str) == sorted(((i, *counts(t)) for i, t in rows), key=str)
+    texts = {r.doc_id: r.spans for r in result}
     assert texts[902] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute(rows[-1][1]))
     assert S.scan_secrets(df.limit(0)).collect() == []
