@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.blocks import mix, partitions
 from sessionloom.llm.components import components
-from sessionloom.session import stable
+from sessionloom.session import scratch_path, stable
 
 DISTANCE = 4
 SHINGLE = 4
@@ -269,3 +269,25 @@ def simhash_groups(
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = grouped.join(named, "root").select("fingerprint", "component_id")
     return marked.join(labels, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, chunk: int = CHUNK
+) -> DataFrame:
+    """All columns of one row of each group: the smallest id, null ids last, then the first in the scan.
+
+    Rows are written once with a number of their own, so repeated and null ids are told apart; only
+    numbers and fingerprints are grouped.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "simhash-rows")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("whole"))
+    numbered.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.parquet(path)
+    own = rows.select("row", F.col("whole")[id_col].cast("long").alias("id"))
+    groups = simhash_groups(rows.select("row", F.col("whole")[text_col].alias("text")), "row", "text", shingle, chunk)
+    best = groups.select(F.col("id").alias("row"), "component_id").join(own.hint("merge"), "row").groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))["row"].alias("row")
+    )
+    return rows.join(best.select("row").hint("merge"), "row", "left_semi").select("whole.*")

@@ -110,3 +110,29 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (9, 9), (5, -4), (-4, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert found == {**{i: 100 for i in range(100, 161)}, **{i: -4 for i in (7, 3, 5, -4)}}
+
+
+def test_keep_one_row_of_each_group(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        w = r.choices(words, k=r.choice([0, 2, 80]))
+        texts.append(" ".join(w))
+        for _ in range(r.choice([0, 1, 4])):
+            w = list(w)
+            if w:
+                w[r.randrange(len(w))] = r.choice(words)
+            texts.append("\n".join(w))
+    texts += [None, "", "x " * 30000]
+    rows = [(r.choice([None, 1, 2, i, -i]), t, k) for k, (i, t) in enumerate(enumerate(texts + texts[:20]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").selectExpr("*", "1 as id", "2 as whole")
+    got = S.keep_one(df)
+    assert got.dtypes == df.dtypes
+    prints = [naive_print(t) for _, t, _ in rows]
+    root, best = roots(prints), {}
+    for (i, _, k), f in zip(rows, prints):
+        key = (i is None, i or 0, k)
+        best[root[f]] = min(key, best.get(root[f], key))
+    assert sorted(x.row for x in got.collect()) == sorted(k for *_, k in best.values())
+    assert S.keep_one(df.limit(0)).collect() == []
