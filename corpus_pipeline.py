@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.decontaminate import contaminated, find_contamination, n_hit
 from sessionloom.llm.line_dedup import dedup_lines
-from sessionloom.llm.near_copies import keep_one
 from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.quality import graded, score_quality, selected
 from sessionloom.llm.queries import table, tokenizer_path
+from sessionloom.llm.simhash import keep_one
 from sessionloom.session import scratch_path
 
 
@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of texts with a Jaccard similarity of 0.8 (words, shingles of five)."""
+    """Keep one row of each group of texts whose SimHash of 4-word shingles is linked by 4 bits at most."""
     return keep_one(docs)
 
 
