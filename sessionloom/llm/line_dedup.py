@@ -4,21 +4,26 @@ A document's lines are cut into chunks where a rolling hash over the hashes of t
 hits a fixed pattern, on average every `MEAN_LINES` lines. Of pattern hits on consecutive lines only the first
 cuts, and none cuts off a document's last line, so every chunk has two lines or more, unless the document has
 one. Boundaries depend on the lines around them alone, so the same passage is cut in the same way wherever
-it stands, whatever was inserted before it. A chunk of two or more lines that occurs more than once in all
-documents stays only where it occurs first (by document id, then by place); the other occurrences are removed.
-
-On a second, finer level the shortest runs of at most `RUN_LINES` lines with `RUN_WORDS` words or more, from each
-line forwards and backwards, are treated alike. So a repeated passage of long lines is found line by line,
-wherever chunks begin and end. Runs overlap; the first occurrence of every line stays in any case.
-
-The whole bytes of chunks and runs are compared. Each block sends every distinct one once, compressed, to the
-group of the chunk's hash, where equal hashes are settled byte by byte; copies inside the block are settled
-there. A chunk that a third of all documents share thus reaches its group once per block.
-
-Defined cases: a null text stays null and has no lines; an empty text is one empty line. Chunks of blank
-lines alone are kept. A document that loses all its lines stays, with an empty text. Null ids come after
-all others; rows with the same id are ordered by their place in the scan, so of repeated rows one keeps its
-chunks. An empty table gives no rows. All columns are kept; `n_lines` and `n_removed` are replaced.
+it stands, whatever was inserted before it. On the finest level every line is a boundary: any two successive lines with
+text (and blank ones between them) are a chunk, and so is a single line of `LONG_WORDS` words or more. A chunk
+that occurs more than once in all documents stays only where it occurs first (by document id, then by place).
+
+The coarse level carries whole passages at one comparison each; the finest level extends them, line by line, to the
+edges that chunk boundaries cut off, and finds what is too short to hold a chunk. In the end exactly those lines
+go that stand in a run of two or more lines with text of which every two neighbours stood together earlier, and
+repeated lines of `LONG_WORDS` words. The first occurrence of every line stays.
+
+Blocks of documents are written once, with the hashes of their chunks. First only hashes move: each block sends each of
+its distinct ones once to the hash's group, which answers where a hash is held by several blocks. Only such
+chunks are then sent whole, once per block, and settled byte by byte in the group; pairs of lines inside a larger
+chunk that the block holds as a repetition stay behind. Copies inside a block are settled there. A chunk that a third
+of all documents share thus reaches its group once per block. The number of groups follows the number of chunks.
+
+Defined cases: a null text stays null and has no lines; an empty text is one empty line. Blank lines at the edge of a
+chunk do not belong to it, so chunks of blank lines alone are kept. A document that loses all its lines stays, with an
+empty text. Null ids come after all others; rows with the same id are ordered by their place in the scan, so of
+repeated rows one keeps its chunks. Very long texts are cut like others. An empty table gives no rows. All columns are
+kept; `n_lines` and `n_removed` are replaced.
 """
 
 from __future__ import annotations
@@ -38,173 +43,237 @@ from sessionloom.session import scratch_path
 
 WINDOW = 2
 MEAN_LINES = 3
-RUN_LINES = 3
-RUN_WORDS = 50
-GROUPS = 4
-NEWLINE = np.zeros(256, bool)
-NEWLINE[10] = True
+LONG_WORDS = 50
+#: Distinct chunks of all blocks that one group settles, about.
+GROUP_CHUNKS = 1 << 17
 COUNTS = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+#: An odd factor, and what undoes it, modulo 2 ** 64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
 class Chunks:
-    """Chunks of some texts in order: first and end line, document, hash, and which may be removed."""
+    """Lines of some texts in order, and the chunks of both levels as (first line, last line)."""
 
     def __init__(self, texts: list[bytes], window: int = WINDOW, mean_lines: int = MEAN_LINES):
-        self.data, self.at = B.concat(texts)
-        self.end = np.flatnonzero(self.data == 10)
-        self.start = np.concatenate(([0], self.end[:-1] + 1)) if len(self.end) else self.end
-        self.line_at = np.searchsorted(self.start, self.at)
-        n = len(self.start)
-        doc = np.repeat(np.arange(len(texts)), np.diff(self.line_at))
-        line = B.span_hashes(self.data, self.start, self.end)
+        self.lines = Lines(texts)
+        s = self.lines
+        n, doc = len(s.start), s.doc
+        line = B.span_hashes(s.data, s.start, s.end)
         rolling = np.zeros(n, np.uint64)
         for k in range(window):
-            rolling[k:] += line[: n - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-        place = np.arange(n) - self.line_at[doc] if n else np.zeros(0, np.int64)
+            rolling[k:] += line[: n - k] * np.uint64(pow(FACTOR, k + 1, 1 << 64))
+        place = np.arange(n) - s.line_at[doc] if n else np.zeros(0, np.int64)
         cut = (B.mix(rolling) % np.uint64(mean_lines) == 0) & (place >= window - 1)
         again = np.zeros(n, bool)
         again[1:] = cut[:-1] & (place[1:] > 0)
-        cut &= ~again & (place + 2 != np.diff(self.line_at)[doc])
+        cut &= ~again & (place + 2 != np.diff(s.line_at)[doc])
         new = np.ones(n, bool)
         new[1:] = cut[:-1] | (doc[1:] != doc[:-1])
         self.first = np.flatnonzero(new)
         self.last = np.append(self.first[1:], n) - 1 if n else self.first
-        self.line_doc = doc
-        begin, stop = self.start[self.first], self.end[self.last]
-        dark = np.concatenate(([0], np.cumsum(~B.WHITE[self.data])))
-        self.counts = (self.last > self.first) & (dark[stop] > dark[begin])
-        self.begin, self.stop = begin, stop
-
-    def bytes(self, k: int) -> bytes:
-        return self.data[self.begin[k] : self.stop[k]].tobytes()
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last line of the shortest runs with enough words that begin or end at each line."""
-        starts, _ = B.word_bounds(self.data)
-        words = np.searchsorted(starts, np.append(self.start, len(self.data)))
-        line, doc = np.arange(len(self.start)), self.line_doc
-        found = []
-        for step in (1, -1):
-            open_ = line
-            for k in range(RUN_LINES):
-                far = open_ + step * k
-                open_ = open_[(far >= 0) & (far < len(line))]
-                open_ = open_[doc[open_ + step * k] == doc[open_]]
-                first, last = np.minimum(open_, open_ + step * k), np.maximum(open_, open_ + step * k)
-                enough = words[last + 1] - words[first] >= RUN_WORDS
-                found.append((first[enough], last[enough]))
-                open_ = open_[~enough]
-        return np.concatenate([f for f, _ in found]), np.concatenate([x for _, x in found])
-
-
-class Plan:
-    """A block's chunks and runs: what is sent, by group, and which are copies of it in the block."""
-
-    def __init__(self, texts: list[bytes], groups: int):
-        self.chunks = c = Chunks(texts)
-        first, last = c.runs()
-        first, last = np.append(c.first[c.counts], first), np.append(c.last[c.counts], last)
+        starts, _ = B.word_bounds(s.data)
+        words = np.diff(np.searchsorted(starts, np.append(s.start, len(s.data))))
+        dark = np.flatnonzero(words)
+        pair = np.flatnonzero(doc[dark[1:]] == doc[dark[:-1]])
+        long = np.flatnonzero(words >= LONG_WORDS)
+        # Coarse chunks without the blank lines at their edges, of two lines with text at least.
+        begin, stop = np.searchsorted(dark, self.first), np.searchsorted(dark, self.last, side="right") - 1
+        coarse = stop > begin
+        first = np.concatenate((dark[begin[coarse]], dark[pair], long))
+        last = np.concatenate((dark[stop[coarse]], dark[pair + 1], long))
         order = np.lexsort((last, first))
         first, last = first[order], last[order]
-        new = np.ones(len(first), bool)
-        new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
-        self.first, self.last = first[new], last[new]
-        self.doc = c.line_doc[self.first]
-        self.begin, self.stop = c.start[self.first], c.end[self.last]
-        self.hash = B.span_hashes(c.data, self.begin, self.stop)
-        heads: dict[tuple[int, bytes], int] = {}
-        self.copy = np.zeros(len(self.first), bool)
-        at = np.arange(len(self.first))
-        _, inverse, n = np.unique(self.hash, return_inverse=True, return_counts=True)
-        for k in at[n[inverse] > 1]:
-            key = (int(self.hash[k]), self.bytes(k))
-            self.copy[k] = heads.setdefault(key, k) != k
-        sent = at[~self.copy[at]]
-        group = (B.mix(self.hash[sent] ^ np.uint64(7)) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        self.sent, self.group = sent[order], group[order]
-
-    def bytes(self, k: int) -> bytes:
-        return self.chunks.data[self.begin[k] : self.stop[k]].tobytes()
-
-    def lines(self, gone: np.ndarray) -> np.ndarray:
-        """Which lines belong to a chunk or run of `gone`."""
-        cover = np.zeros(len(self.chunks.start) + 1, np.int64)
-        np.add.at(cover, self.first[gone], 1)
-        np.add.at(cover, self.last[gone] + 1, -1)
+        distinct = np.ones(len(first), bool)
+        distinct[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
+        self.begin, self.stop = first[distinct], last[distinct]
+        # Hashes of stretches of lines from running sums: no byte is hashed twice.
+        power = np.cumprod(np.full(n + 1, FACTOR, np.uint64))
+        undo = np.cumprod(np.full(n + 1, INVERSE, np.uint64))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(line * power[:-1], dtype=np.uint64)))
+        spread = (total[self.stop + 1] - total[self.begin]) * undo[self.begin]
+        self.hash = B.mix(spread + (self.stop - self.begin + 1).astype(np.uint64))
+
+
+class Lines:
+    """The bytes of some texts, where their lines begin and end, and whose they are."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data, self.at = B.concat(texts)
+        self.end = np.flatnonzero(self.data == 10)
+        self.start = np.concatenate(([0], self.end[:-1] + 1)) if len(self.end) else self.end
+        self.line_at = np.searchsorted(self.start, self.at)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.line_at))
+
+    def bytes(self, first: int, last: int) -> bytes:
+        return self.data[self.start[first] : self.end[last]].tobytes()
+
+    def covered(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which lines lie in one of the stretches."""
+        cover = np.zeros(len(self.start) + 1, np.int64)
+        np.add.at(cover, first, 1)
+        np.add.at(cover, last + 1, -1)
         return np.cumsum(cover[:-1]) > 0
 
 
-def _send(groups: int):
+def block_plan(ids: np.ndarray, texts: list[bytes]) -> dict[str, np.ndarray]:
+    """A block's chunks: first and last line, hash, the owner's id, and the first equal one in the block (itself, too)."""
+    c = Chunks(texts)
+    heads: dict[tuple[int, bytes], int] = {}
+    head = np.arange(len(c.begin))
+    _, inverse, n = np.unique(c.hash, return_inverse=True, return_counts=True)
+    for k in np.flatnonzero(n[inverse] > 1).tolist():
+        head[k] = heads.setdefault((inverse[k], c.lines.bytes(c.begin[k], c.stop[k])), k)
+    return {
+        "first": c.begin.astype(np.int32), "last": c.stop.astype(np.int32), "hash": c.hash,
+        "id": ids[c.lines.doc[c.begin]], "head": head.astype(np.int32),
+    }
+
+
+def _dealt(plan: dict[str, np.ndarray], groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The block's distinct chunks by group, each group's in order."""
+    heads = np.flatnonzero(plan["head"] == np.arange(len(plan["head"])))
+    group = (B.mix(plan["hash"][heads] ^ np.uint64(7)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    heads, group = heads[order], group[order]
+    cut = np.flatnonzero(np.diff(group, prepend=-1))
+    for i, j in zip(cut, np.append(cut[1:], len(heads))):
+        yield int(group[i]), heads[i:j]
+
+
+def _messages(block: int, sent: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([g for g, _ in sent], pa.int32()), pa.array([block] * len(sent), pa.int64()),
+            pa.array([p for _, p in sent], pa.binary()),
+        ],
+        names=["group", "block", "data"],
+    )
+
+
+def _send_hashes(groups: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, texts, _ = B.unpack(data.as_py())
-                plan = Plan(texts, groups)
-                cut = np.flatnonzero(np.diff(plan.group, prepend=-1))
-                sent = []
-                for i, j in zip(cut, np.append(cut[1:], len(plan.sent))):
-                    own = plan.sent[i:j]
-                    packed = B.pack((plan.hash[own], ids[plan.doc[own]], own, [plan.bytes(k) for k in own]))
-                    sent.append((int(plan.group[i]), packed))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([g for g, _ in sent], pa.int32()), pa.array([block] * len(sent), pa.int64()),
-                        pa.array([p for _, p in sent], pa.binary()),
-                    ],
-                    names=["group", "block", "data"],
-                )
+                plan = B.unpack(data.as_py())
+                yield _messages(block, [
+                    (g, B.pack((plan["hash"][own], plan["id"][own], own), level=1)) for g, own in _dealt(plan, groups)
+                ])
 
     return send
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """Of each block's chunks in this group, which also occur earlier in another block."""
-    blocks = table.column("block").to_pylist()
+def _received(table: pa.Table):
+    """The blocks, and what they sent: hash, id and place of each chunk with the number of its block."""
+    blocks = np.array(table.column("block").to_pylist(), np.int64)
     parts = [B.unpack(p) for p in table.column("data").to_pylist()]
     size = [len(p[0]) for p in parts]
-    value, ids, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    owner = np.repeat(blocks, size)
+    columns = [np.concatenate([p[k] for p in parts]) for k in range(3)]
+    return blocks, parts, np.repeat(np.arange(len(blocks)), size), columns
+
+
+def _replies(blocks: np.ndarray, owner: np.ndarray, flags: list[np.ndarray], places: np.ndarray) -> pa.Table:
+    """Per block the places that have the first flag, with what other flags say of them."""
+    hit = np.flatnonzero(flags[0])
+    hit = hit[np.argsort(owner[hit], kind="stable")]
+    cut = np.flatnonzero(np.diff(owner[hit], prepend=-1))
+    out = [
+        (blocks[owner[hit[i]]], B.pack((places[hit[i:j]], *[f[hit[i:j]] for f in flags[1:]]), level=1))
+        for i, j in zip(cut, np.append(cut[1:], len(hit)))
+    ]
+    return pa.table({
+        "block": pa.array([b for b, _ in out], pa.int64()), "hits": pa.array([h for _, h in out], pa.binary()),
+    })
+
+
+def _find_shared(table: pa.Table) -> pa.Table:
+    """Of each block's chunks in this group, which other blocks hold by their hash, and which of these come first."""
+    blocks, _, owner, (value, ids, places) = _received(table)
+    order = np.lexsort((places, blocks[owner], ids, value))
+    same = value[order[1:]] == value[order[:-1]]
+    shared, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    shared[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    first[order] = np.concatenate(([True], ~same))
+    return _replies(blocks, owner, [shared, first], places)
+
+
+def _hits(replies: list | None) -> list[np.ndarray]:
+    parts = [B.unpack(r) for r in replies or []]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else []
+
+
+def _send_shared(groups: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data, planned, replies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+                hits = _hits(replies)
+                if not hits:
+                    continue
+                plan = B.unpack(planned.as_py())
+                shared, first = np.zeros(len(plan["head"]), bool), np.zeros(len(plan["head"]), bool)
+                shared[hits[0]], first[hits[0]] = True, hits[1]
+                lines = Lines(B.unpack(data.as_py())[1])
+                shared &= ~_inside_repeats(plan, shared, first)
+                yield _messages(block, [
+                    (g, B.pack((plan["hash"][k], plan["id"][k], k, [lines.bytes(plan["first"][i], plan["last"][i]) for i in k])))
+                    for g, own in _dealt(plan, groups) for k in [own[shared[own]]] if len(k)
+                ])
+
+    return send
+
+
+def _inside_repeats(plan: dict[str, np.ndarray], shared: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Chunks all of whose occurrences in the block lie inside larger ones that repeat another block's earlier one.
+
+    Where they occur first is in some earlier document, which sends them, and here they go with the larger ones.
+    """
+    head = plan["head"]
+    goes = shared & ~first
+    large = goes[head] & (plan["last"] - plan["first"] > 1)
+    # Chunks of more than two lines do not overlap, so the last that began before says how far it reaches.
+    begin, stop = plan["first"][large], plan["last"][large]
+    inside = np.zeros(len(head), bool)
+    if len(begin):
+        stop = np.maximum.accumulate(stop)
+        at = np.searchsorted(begin, plan["first"], side="right") - 1
+        inside = (at >= 0) & (plan["last"] <= stop[np.maximum(at, 0)]) & ~large
+    everywhere = np.ones(len(head), bool)
+    np.logical_and.at(everywhere, head, inside)
+    return everywhere & goes
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """Of each block's chunks in this group, which also occur earlier in another block, byte for byte."""
+    blocks, parts, owner, (value, ids, places) = _received(table)
     texts = [t for p in parts for t in p[3]]
     again = np.zeros(len(value), bool)
-    order = np.lexsort((place, owner, ids, value))
-    same = np.zeros(len(order), bool)
-    same[1:] = value[order[1:]] == value[order[:-1]]
-    seen: dict[bytes, bool] = {}
-    for k, (row, follows) in enumerate(zip(order, same)):
-        if not follows:
-            if not (k + 1 < len(same) and same[k + 1]):
-                continue
+    order = np.lexsort((places, blocks[owner], ids, value))
+    begins = np.concatenate(([True], value[order[1:]] != value[order[:-1]]))
+    seen: dict[bytes, int] = {}
+    for row, new in zip(order.tolist(), begins.tolist()):
+        if new:
             seen = {}
         again[row] = seen.setdefault(texts[row], row) != row
-    out = [(b, a) for b, a in zip(blocks, np.split(again, np.cumsum(size)[:-1])) if a.any()]
-    return pa.table(
-        {
-            "block": pa.array([b for b, _ in out], pa.int64()),
-            "group": pa.array([table.column("group")[0].as_py()] * len(out), pa.int32()),
-            "hits": pa.array([B.pack(a) for _, a in out], pa.binary()),
-        }
-    )
+    return _replies(blocks, owner, [again], places)
 
 
-def _remove(groups: int, text_col: str, columns: list[str]):
+def _remove(text_col: str, columns: list[str]):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, replies in zip(batch.column(0), batch.column(1).to_pylist()):
+            for data, planned, replies in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
                 _, texts, rows = B.unpack(data.as_py())
                 rows = pa.ipc.open_stream(rows).read_all()
-                plan = Plan(texts, groups)
-                c = plan.chunks
-                gone = plan.copy.copy()
-                for r in replies or []:
-                    gone[plan.sent[plan.group == r["group"]]] |= B.unpack(r["hits"])
-                lines = plan.lines(gone)
-                keep = np.repeat(~lines, c.end - c.start + 1)
-                out = c.data[keep].tobytes()
-                at = np.concatenate(([0], np.cumsum(keep)))[c.at]
-                removed = np.concatenate(([0], np.cumsum(lines)))[c.line_at]
+                plan, s = B.unpack(planned.as_py()), Lines(texts)
+                gone = plan["head"] != np.arange(len(plan["head"]))
+                for places in _hits(replies):
+                    gone[places] = True
+                lines = s.covered(plan["first"][gone], plan["last"][gone])
+                keep = np.repeat(~lines, s.end - s.start + 1)
+                out = s.data[keep].tobytes()
+                at = np.concatenate(([0], np.cumsum(keep)))[s.at]
+                removed = np.concatenate(([0], np.cumsum(lines)))[s.line_at]
                 null = rows.column(text_col).is_null().to_numpy()
-                n_lines = np.where(null, 0, np.diff(c.line_at))
+                n_lines = np.where(null, 0, np.diff(s.line_at))
                 text = [None if x else out[i : max(i, j - 1)].decode() for i, j, x in zip(at[:-1], at[1:], null)]
                 new = {
                     text_col: pa.array(text, pa.string()), "n_lines": pa.array(n_lines),
@@ -227,12 +296,14 @@ def _block_writer(id_col: str, text_col: str, block_bytes: int):
             )
             with pa.ipc.new_stream(rest, keep.schema) as sink:
                 sink.write_table(keep)
+            plan = block_plan(ids, texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([base + n], pa.int64()),
                     pa.array([B.pack((ids, texts, rest.getvalue().to_pybytes()))], pa.binary()),
+                    pa.array([B.pack(plan)], pa.binary()), pa.array([len(plan["head"])], pa.int64()),
                 ],
-                names=["block", "data"],
+                names=["block", "data", "plan", "n_chunks"],
             )
 
     return write
@@ -243,20 +314,29 @@ def dedup_lines(
 ) -> DataFrame:
     """All rows and columns, texts without repeated chunks, plus n_lines and n_removed."""
     spark = docs.sparkSession
-    groups = GROUPS * B.partitions(spark)
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in COUNTS.names])
     name = f"line_blocks_{uuid.uuid4().hex}"
-    made = rows.mapInArrow(_block_writer(id_col, text_col, block_bytes), "block long, data binary")
+    made = rows.mapInArrow(
+        _block_writer(id_col, text_col, block_bytes), "block long, data binary, plan binary, n_chunks long"
+    )
     (
         made.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "none")
         .bucketBy(B.partitions(spark), "block").saveAsTable(name)
     )
     table = spark.table(name)
-    sent = table.mapInArrow(_send(groups), "group int, block long, data binary")
-    hits = sent.groupBy("group").applyInArrow(_settle, "block long, group int, hits binary")
-    replies = hits.groupBy("block").agg(F.collect_list(F.struct("group", "hits")).alias("replies"))
+    n_chunks = table.agg(F.sum("n_chunks")).first()[0] or 0
+    groups = max(B.partitions(spark), -(-n_chunks // GROUP_CHUNKS))
+    message, reply = "group int, block long, data binary", "block long, hits binary"
+
+    def by_block(replies: DataFrame) -> DataFrame:
+        return replies.groupBy("block").agg(F.collect_list("hits").alias("replies")).hint("merge")
+
+    hashes = table.select("block", "plan").mapInArrow(_send_hashes(groups), message)
+    shared = by_block(hashes.groupBy("group").applyInArrow(_find_shared, reply))
+    whole = table.join(shared, "block").select("block", "data", "plan", "replies").mapInArrow(_send_shared(groups), message)
+    again = by_block(whole.groupBy("group").applyInArrow(_settle, reply))
     schema = T.StructType(list(rows.schema) + list(COUNTS))
     return (
-        table.join(replies.hint("merge"), "block", "left").select("data", "replies")
-        .mapInArrow(_remove(groups, text_col, schema.names), schema)
+        table.join(again, "block", "left").select("data", "plan", "replies")
+        .mapInArrow(_remove(text_col, schema.names), schema)
     )

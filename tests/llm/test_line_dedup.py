@@ -1,33 +1,36 @@
-"""Removed chunks against a brute-force version over the same boundaries, and their shift resistance."""
+"""Removed lines against a brute-force version that knows no chunks, and the chunks' shift resistance."""
 
 import random
 
 import pytest
 
-from sessionloom.llm.line_dedup import Chunks, dedup_lines
+from sessionloom.llm.line_dedup import LONG_WORDS, Chunks, dedup_lines
 
 
 def chunks(text):
     c = Chunks([text.encode()])
-    return [c.bytes(k).decode() for k in range(len(c.first))]
+    return [text.encode()[c.lines.start[i] : c.lines.end[j]].decode() for i, j in zip(c.first, c.last)]
 
 
 def brute(rows):
-    """Texts by row; `rows` in the order in which occurrences count."""
+    """Texts by row; `rows` in the order in which occurrences count. A line goes if it and a neighbour
+    with text stood together before, or if it is long and stood anywhere before."""
     seen, out = set(), []
     for i, t in rows:
         if t is None:
             out.append((i, None, 0, 0))
             continue
-        kept, removed = [], 0
-        for c in chunks(t):
-            n = c.count("\n") + 1
-            if n > 1 and c.strip(" \t\n\r\x0b\x0c") and c in seen:
-                removed += n
-            else:
-                kept.append(c)
-                seen.add(c)
-        out.append((i, "\n".join(kept), t.count("\n") + 1, removed))
+        lines = t.split("\n")
+        dark = [k for k, x in enumerate(lines) if x.strip(" \t\n\r\x0b\x0c")]
+        gone = set()
+        units = [(a, b) for a, b in zip(dark, dark[1:])]
+        units += [(k, k) for k in dark if len(lines[k].encode().split()) >= LONG_WORDS]
+        for a, b in sorted(units):
+            key = tuple(lines[a : b + 1])
+            if key in seen:
+                gone.update(range(a, b + 1))
+            seen.add(key)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)))
     return out
 
 
@@ -64,8 +67,28 @@ def test_repeated_and_null_ids(spark):
     text = "\n".join(f"l{i}" for i in range(30))
     df = spark.createDataFrame([(None, text), (1, text), (1, text)], "doc_id long, text string").coalesce(1)
     got = sorted((r.doc_id is None, r.n_removed) for r in dedup_lines(df).collect())
-    multi = sum(c.count("\n") + 1 for c in chunks(text) if "\n" in c)
-    assert got == [(False, 0), (False, multi), (True, multi)]
+    assert got == [(False, 0), (False, 30), (True, 30)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_passages_over_many_blocks(spark, seed):
+    """Whole, cut and overlapping passages, some with blank lines, in blocks of a few lines to some documents each."""
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(30)]
+    line = lambda n: " ".join(r.choices(words, k=n))
+    pool = [line(r.choice([1, 2, 3, 55])) for _ in range(25)] + ["", "", " "]
+    passages = [r.choices(pool, k=r.randint(2, 12)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        body = []
+        for _ in range(r.randint(0, 4)):
+            p = r.choice(passages)
+            a = r.randrange(len(p))
+            body += p[a : a + r.randint(1, 12)] + r.choices([*pool, f"own {i}"], k=r.randint(0, 2))
+        rows.append((i, "\n".join(body)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.text, x.n_removed) for x in dedup_lines(df, block_bytes=r.choice([100, 700, 5000])).collect()}
+    assert got == {i: (t, n) for i, t, _, n in brute(rows)}
 
 
 def test_no_chunk_of_one_line():
