@@ -126,6 +126,16 @@ def f_materialize(spark, d):
     return W.materialize(view, path)
 
 
+def f_refresh_captures(spark, d):
+    """A stored view of which one capture was cut and one is missing, both refreshed; the third is left alone."""
+    view = V.training_view_fused(X.conn(spark, d), keep=["uid", "source_file"])
+    path = scratch_path(spark, "view")
+    stale = view.filter("source_file = 'capture_1.csv' OR source_file = 'capture_2.csv' AND proto_tcp = 1")
+    W.materialize(stale, path)
+    W.refresh_captures(view, path, ["capture_2.csv", "capture_3.csv"])
+    return W.open_view(spark, path)
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -133,7 +143,7 @@ QUERIES = {
         f_resp_port_train, f_resp_port_iot, f_proto, f_conn_state, f_impute_flag, f_service,
         f_history_one_hot, f_simple_label, f_label_flags, f_ipv4_to_int, f_encode_addresses,
         f_tunnel_parent, f_training_view, f_session_full_view,
-        f_session_full_view_fused, f_training_view_fused, f_materialize,
+        f_session_full_view_fused, f_training_view_fused, f_materialize, f_refresh_captures,
     ]
 }
 
@@ -176,4 +186,5 @@ ORACLE = {
     "f_session_full_view_fused": O.with_tables(O.session_full_view()),
     "f_training_view_fused": O.with_tables(O.training_view(CAPTURE)),
     "f_materialize": O.with_tables(O.training_view(None, ["s.uid", "s.source_file"])),
+    "f_refresh_captures": O.with_tables(O.training_view(None, ["s.uid", "s.source_file"])),
 }

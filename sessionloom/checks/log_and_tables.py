@@ -14,9 +14,10 @@ from sessionloom.operators import normalize as N
 from sessionloom.operators import quality as Q
 from sessionloom.plans import warehouse as W
 from sessionloom.session import scratch_path
+from sessionloom.sources import checked_load as C
 from sessionloom.sources import conn_log as L
 from sessionloom.sources import tables as T
-from sessionloom.streaming.ingest import stream_ingest
+from sessionloom.streaming.ingest import stream_ingest, stream_lines
 
 PLAIN = O.plain(S.LOG_FIELDS)
 CONN_SELECT = "SELECT * FROM conn"
@@ -79,25 +80,21 @@ def io_typed_raw(spark, d):
     return _float_as_text(_raw_from_log(spark, d))
 
 
-def io_source_tag(spark, d):
-    """Each capture's lines parsed on their own and tagged with the capture's name."""
-    captures = [f"capture_{i}.csv" for i in (1, 2, 3)]
-    lines = _lines(spark, d)
-    tagged = [
-        L.with_source(L.parse_conn_log(lines.filter(F.col("source_file") == c).select("value")), c)
-        for c in captures
-    ]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).select("uid", "source_file")
+def _log_files(lines: DataFrame) -> str:
+    """The lines as text files that are named as their captures; a glob that matches them."""
+    return X.one_file_per_capture(lines, scratch_path(lines.sparkSession, "logs"), "text")
 
 
-def _csv_dir(spark, d) -> str:
-    path = scratch_path(spark, "csv")
-    T.write_csv(L.null_tokens(_parsed(spark, d).drop("source_file")), path)
-    return path
+def io_source_tag(spark, d):
+    """Every row's capture is the name of the file it was read from."""
+    return L.read_conn_logs(spark, _log_files(_lines(spark, d))).select("uid", "source_file")
 
 
 def io_load_dir(spark, d):
-    return _float_as_text(T.load_dir(spark, _csv_dir(spark, d)).drop("source_file"))
+    """CSV files, several to a capture, loaded as one relation with their files' names."""
+    cells = L.null_tokens(_parsed(spark, d))
+    files = X.one_file_per_capture(cells, scratch_path(spark, "csv"), "csv", header=True, escape='"')
+    return _float_as_text(T.load_dir(spark, files))
 
 
 def io_csv_roundtrip(spark, d):
@@ -139,11 +136,44 @@ def io_preview(spark, d):
 
 
 def io_stream_ingest(spark, d):
-    """The log as files, ingested by the stream."""
+    """The log as files named as their captures, ingested by the stream."""
+    base = scratch_path(spark, "stream")
+    files = _log_files(_lines(spark, d).repartition(4))
+    stream_ingest(spark, files, f"{base}/out", f"{base}/checkpoint", max_files=2)
+    return _float_as_text(spark.read.parquet(f"{base}/out"))
+
+
+def _checked(spark, d) -> str:
+    path = scratch_path(spark, "checked")
+    C.load_checked(X.broken_lines(X.read_table(spark, d, "events")), path)
+    return path
+
+
+def io_parse_report(spark, d):
+    """Per file: lines, short and long ones, and cells that do not fit their column."""
+    return C.parse_report(spark, _checked(spark, d))
+
+
+def io_parse_report_stream(spark, d):
+    """The same report of lines that came in by the file stream, two files at a time."""
     base = scratch_path(spark, "stream")
-    _lines(spark, d).select("value").repartition(4).write.text(f"{base}/in")
-    stream_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", max_files=2)
-    return _float_as_text(spark.read.parquet(f"{base}/out").drop("source_file"))
+    files = _log_files(X.broken_lines(X.read_table(spark, d, "events")).repartition(3))
+    C.stream_checked(stream_lines(spark, files, 2), f"{base}/out", f"{base}/checkpoint")
+    return C.parse_report(spark, f"{base}/out")
+
+
+def io_rejected_lines(spark, d):
+    """The malformed lines themselves, with what is wrong with them."""
+    bad = C.rejected_lines(spark, _checked(spark, d))
+    return bad.select(
+        "source_file", "n_fields", F.array_join("misfits", ",").alias("misfits"),
+        F.get(F.split("line", "\t", -1), 1).alias("uid"), F.size(F.split("line", "\t", -1)).alias("n_written"),
+    )
+
+
+def io_load_checked(spark, d):
+    """What a checked load of broken lines leaves: every line's row, misfits and missing fields null."""
+    return _float_as_text(C.loaded_rows(spark, _checked(spark, d)))
 
 
 def q_missing_report(spark, d):
@@ -265,7 +295,8 @@ QUERIES = {
     for f in [
         io_parse_conn_log, io_repair_labels, io_null_tokens, io_typed_raw, io_source_tag,
         io_load_dir, io_row_id, io_csv_roundtrip, io_read_relation, io_parquet_roundtrip,
-        io_union_captures, io_preview, io_stream_ingest, q_missing_report, q_drop_sparse,
+        io_union_captures, io_preview, io_stream_ingest, io_parse_report, io_parse_report_stream,
+        io_rejected_lines, io_load_checked, q_missing_report, q_drop_sparse,
         q_fill_zero, q_numeric_only, q_class_counts, q_distinct_values, q_render_rows,
         q_pk_violations, q_fk_violations, q_drop_if_present, n_service_dim, n_label_dim,
         n_history_legend, n_session, n_session_service, n_session_label,
@@ -287,6 +318,38 @@ def _filled(c: str) -> str:
     return f"coalesce({c}, 0) AS {c}" if c in _NUMERIC else c
 
 
+def _hit(divisor: int, rest: int) -> str:
+    return f"event_id % {divisor} = {rest}"
+
+
+# The faults of `broken_lines` by arithmetic on the event number, not by looking at any line.
+_FAULTS = {
+    c: _hit(divisor, rest) + (f" AND NOT {_hit(*X.CUT)}" if S.RAW_COLUMNS.index(c) >= X.CUT_FIELDS else "")
+    for c, divisor, rest, _ in X.BROKEN_CELLS
+}
+_IN_ORDER = sorted(_FAULTS, key=S.RAW_COLUMNS.index)
+_BROKEN = f"""broken AS (
+  SELECT *, CAST(CASE WHEN {_hit(*X.CUT)} THEN {X.CUT_FIELDS} WHEN {_hit(*X.SURPLUS)} THEN 25 ELSE 23 END AS INTEGER) AS n_fields,
+    concat_ws(',', {", ".join(f"CASE WHEN {_FAULTS[c]} THEN '{c}' END" for c in _IN_ORDER)}) AS misfits
+  FROM conn_n)"""
+_REPORT = O.with_conn("\nUNION ALL ".join(
+    f"SELECT source_file, '{problem}' AS problem, {column} AS column_name, count(*) AS n FROM broken WHERE {where} GROUP BY 1"
+    for problem, column, where in [
+        ("all", "CAST(NULL AS VARCHAR)", "true"), ("short", "NULL", "n_fields < 23"), ("long", "NULL", "n_fields > 23"),
+        *[("misfit", f"'{c}'", _FAULTS[c]) for c in _IN_ORDER],
+    ]
+), _BROKEN)
+
+
+def _broken_cell(c: str) -> str:
+    """A column of the raw relation, null where the line was cut or its cell does not fit."""
+    lost = [f"({_FAULTS[c]})"] if c in _FAULTS else []
+    if c in S.RAW_COLUMNS and S.RAW_COLUMNS.index(c) >= X.CUT_FIELDS:
+        lost.append(f"({_hit(*X.CUT)})")
+    value = "round(duration, 2)" if c == "duration" else c
+    return f"CASE WHEN NOT ({' OR '.join(lost)}) THEN {value} END AS {c}" if lost else f"{value} AS {c}"
+
+
 _HIGH_NULL = "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM conn"
     for c in O.CONN_COLUMNS
@@ -307,7 +370,7 @@ ORACLE = {
     "io_null_tokens": O.with_conn(f"SELECT {O.conn_cells(null=None)} FROM conn_n"),
     "io_typed_raw": _typed_conn(False),
     "io_source_tag": O.with_conn("SELECT uid, source_file FROM conn"),
-    "io_load_dir": _typed_conn(True),
+    "io_load_dir": _typed_conn(False),
     "io_row_id": O.with_conn(
         "SELECT row_number() OVER (ORDER BY ts, uid) AS id, uid, ts FROM conn"
     ),
@@ -322,7 +385,14 @@ ORACLE = {
         "SELECT uid, ts, (SELECT count(*) FROM conn) AS n_rows,"
         f" CAST({len(O.CONN_COLUMNS)} AS INTEGER) AS n_columns FROM conn ORDER BY ts, uid LIMIT 10"
     ),
-    "io_stream_ingest": _typed_conn(True),
+    "io_stream_ingest": _typed_conn(False),
+    "io_parse_report": _REPORT,
+    "io_parse_report_stream": _REPORT,
+    "io_rejected_lines": O.with_conn(
+        "SELECT source_file, n_fields, misfits, uid, n_fields AS n_written FROM broken"
+        " WHERE n_fields <> 23 OR misfits <> ''", _BROKEN,
+    ),
+    "io_load_checked": O.with_conn(f"SELECT {', '.join(map(_broken_cell, O.CONN_COLUMNS))} FROM broken", _BROKEN),
     "q_missing_report": O.with_conn(f"SELECT * FROM ({_HIGH_NULL}) WHERE n_missing > 0"),
     "q_drop_sparse": O.with_conn(f"SELECT * EXCLUDE ({', '.join(_SPARSE)}) FROM conn"),
     "q_fill_zero": O.with_conn(f"SELECT {', '.join(_filled(c) for c in O.CONN_COLUMNS)} FROM conn"),

@@ -117,6 +117,50 @@ def conn_lines(events: DataFrame) -> DataFrame:
     )
 
 
+#: Faults of `broken_lines`: a column, the divisor and remainder of the event numbers that have it, the cell.
+BROKEN_CELLS = [
+    ("id_orig_p", 53, 8, "port"), ("orig_bytes", 47, 7, "12x"), ("local_orig", 59, 9, "maybe"), ("resp_pkts", 61, 3, "1,5"),
+]
+#: Lines cut after so many fields, and lines with two more, as divisor and remainder.
+CUT_FIELDS, CUT, SURPLUS = 12, (41, 5), (43, 6)
+
+
+def broken_lines(events: DataFrame) -> DataFrame:
+    """The connections as log lines of 23 fields, some of them cut, too long or with cells of the wrong type."""
+    raw = conn_from_events(events)
+    n = F.col("event_id")
+    hit = lambda fault: n % fault[0] == fault[1]
+    cells = dict(zip(S.RAW_COLUMNS, _fields(raw)))
+    for c, divisor, rest, cell in BROKEN_CELLS:
+        cells[c] = F.when(hit((divisor, rest)), F.lit(cell)).otherwise(cells[c])
+    fields = list(cells.values())
+    line = (
+        F.when(hit(CUT), F.concat_ws("\t", *fields[:CUT_FIELDS]))
+        .when(hit(SURPLUS), F.concat_ws("\t", *fields, F.lit("one more"), F.lit("")))
+        .otherwise(F.concat_ws("\t", *fields))
+    )
+    return raw.select(line.alias("value"), "source_file")
+
+
+def one_file_per_capture(df: DataFrame, path: str, kind: str, **options) -> str:
+    """Write `df` below `path` in files that are named as its captures; a glob that matches them.
+
+    Each task writes a part of every capture it holds, and parts go to folders of their own under the
+    capture's name.
+    """
+    spark = df.sparkSession
+    df.write.partitionBy("source_file").options(**options).format(kind).save(f"{path}/written")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(hadoop.Path(f"{path}/written/source_file=*/part-*")):
+        part = status.getPath()
+        capture = part.getParent().getName().removeprefix("source_file=")
+        folder = hadoop.Path(f"{path}/files/{part.getName().split('.')[0]}")
+        fs.mkdirs(folder)
+        fs.rename(part, hadoop.Path(folder, capture))
+    return f"{path}/files/*"
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two score columns over the connections, stacked as (key, model, label, score)."""
     value = F.coalesce(F.col("value"), F.lit(0.0))

@@ -29,13 +29,14 @@ def data_lines(lines: DataFrame) -> DataFrame:
 
 
 def parse_conn_log(
-    lines: DataFrame, repair: bool = True, nulls: Iterable[str] | None = None
+    lines: DataFrame, repair: bool = True, nulls: Iterable[str] | None = None, count_as: str | None = None
 ) -> DataFrame:
     """23 text columns per data line, under the log's own names.
 
     Missing trailing fields are null, surplus ones are left out; other columns of `lines`
     (such as `source_file`) are kept. With `nulls`, those tokens become null on the way, while
-    the fields are still one array: much less code per row than a test on every column.
+    the fields are still one array: much less code per row than a test on every column. `count_as`
+    names a column for the number of fields.
     """
     kept = [c for c in lines.columns if c != "value"]
     rows = data_lines(lines).withColumn("_fields", F.split("value", "\t", -1))
@@ -44,7 +45,8 @@ def parse_conn_log(
     if nulls is not None:
         tokens = list(nulls)
         rows = rows.withColumn("_fields", F.transform("_fields", lambda c: null_token(c, tokens)))
-    return rows.select(*[F.get("_fields", i).alias(n) for i, n in enumerate(S.LOG_FIELDS)], *kept)
+    counted = [F.size("_fields").alias(count_as)] if count_as else []
+    return rows.select(*[F.get("_fields", i).alias(n) for i, n in enumerate(S.LOG_FIELDS)], *kept, *counted)
 
 
 def raw_from_lines(lines: DataFrame) -> DataFrame:
@@ -72,11 +74,15 @@ def _typed(name: str, kind: T.DataType, source: str) -> Column:
     return cell.try_cast(kind).alias(name)
 
 
+def typed_cells() -> dict[str, Column]:
+    """Each raw column as an expression over the log's text column in its place."""
+    return {n: _typed(n, t, src) for (n, t), src in zip(S.RAW_TYPES.items(), S.LOG_FIELDS)}
+
+
 def to_raw(df: DataFrame) -> DataFrame:
     """The typed raw relation, dotted and hyphenated names renamed by position."""
-    named = zip(S.RAW_TYPES.items(), S.LOG_FIELDS)
     kept = [c for c in df.columns if c not in S.LOG_FIELDS]
-    return df.select(*[_typed(n, t, src) for (n, t), src in named], *kept)
+    return df.select(*typed_cells().values(), *kept)
 
 
 def with_source(df: DataFrame, name: str | Column) -> DataFrame:

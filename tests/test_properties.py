@@ -72,7 +72,7 @@ def test_a_view_of_one_capture_reads_that_capture_alone(spark, raw, tmp_path):
     view = Fe.training_view(tables, "capture_2.csv", keep=["uid"])
     assert same(view, Fe.training_view_fused(raw, "capture_2.csv", keep=["uid"]))
     scans = [x for x in view._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
-    parts = [x for x in scans if "/service]" not in x and "/label]" not in x and "/history_legend]" not in x]
+    parts = [x for x in scans if not any(f"/{t}/rows" in x for t in W.SHARED_TABLES)]
     assert len(parts) >= 6 and all("PartitionFilters: [isnotnull(source_file" in x for x in parts)
 
 
