@@ -7,6 +7,7 @@ for another one.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -16,7 +17,6 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -33,8 +33,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from sessionloom import schemas as S
+from sessionloom.operators.margins import fit_margins, margin_gradient, margin_model, margin_rows
+from sessionloom.operators.networks import Schedule, held_by_key, network_model, train_network
+from sessionloom.operators.partial_sums import second_moments
 from sessionloom.operators.prepare import (
     align_inputs,
     fit_sample,
@@ -46,7 +50,6 @@ from sessionloom.operators.scaling import RobustScale, minmax_score
 
 # The training budgets and stopping tolerances of the models.
 LOGREG_ITERATIONS = 1000
-SVM_ITERATIONS = 1000
 LINEAR_TOLERANCE = 1e-4
 FOREST_TREES = 300
 CALIBRATION_FOLDS = 3
@@ -54,16 +57,23 @@ MLP_HIDDEN = (512, 256, 128, 64)
 MLP_ITERATIONS = 300
 BALANCED_MLP_HIDDEN = (256, 128)
 BALANCED_MLP_ITERATIONS = 1000
+BALANCED_MLP_PENALTY = 1e-3
 CLEAN_MLP_HIDDEN = (128, 64)
 LATENT_MLP_HIDDEN = (128, 64, 32, 16)
 TABULAR_LATENTS = 4
 FULL_LATENTS = 20
 HISTORY_LATENTS = 2
+HISTORY_WINDOW = 3
 TOP_FEATURES = 15
 SEED = 42
 
 # The deepest that the library's trees can grow.
 FOREST_DEPTH = 30
+#: Newton steps end when no part of the margin's gradient is larger, per unit of the rows' weight.
+SVM_TOLERANCE = 1e-6
+SVM_STEPS = 200
+#: The networks' steps: hidden units are sigmoids, which need larger ones than rectified units do.
+BALANCED_MLP_RATE = 3e-3
 
 
 @dataclass
@@ -286,40 +296,62 @@ def fit_calibrated_svm(
 ) -> Bundle:
     """Balanced linear SVM per fold, its margin mapped to a probability on the fold left out.
 
-    The sigmoid is fitted to smoothed targets (Platt): a fractional target t is a row of each
-    class with weights t and 1 - t. The score is the mean over the folds, each of which has its
-    share of both classes. `parallel` folds are fitted at a time, each holding its rows in executor
-    memory and disk. The loss is the plain hinge.
+    The machines have the squared hinge and are fitted for all folds at once. The sigmoid is fitted to smoothed
+    targets (Platt): a fractional target t is a row of each class with weights t and 1 - t. The score is the mean
+    over the folds, each of which has its share of both classes. `parallel` sigmoids are fitted at a time.
     """
     n = df.count()
     stages, names = _vectors(df, features, n, scale=True, center=False)
+    rows = _svm_rows(df, stages, label, key, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = {r["_fold"]: r for r in rows.groupBy("_fold").agg(
+            F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
+        ).collect()}
+        order = sorted(sizes)
+        data = margin_rows(rows, "vector", "_y", "weight", "_fold")
+        machines = fit_margins(data, len(names), order, C, SVM_TOLERANCE, SVM_STEPS)
+
+        def fit_fold(k: int) -> list[Transformer]:
+            weights = machines[order.index(k)].weights
+            svm = margin_model(df.sparkSession, weights, f"LinearSVC_{uuid.uuid4().hex[:12]}", "vector", f"margin_{k}", f"side_{k}")
+            held = svm.transform(rows.filter(F.col("_fold") == k))
+            sigmoid = LogisticRegression(
+                featuresCol=f"margin_{k}", labelCol="_t", weightCol="_w", rawPredictionCol=f"logit_{k}",
+                probabilityCol=f"probability_{k}", predictionCol=f"class_{k}",
+            ).fit(_platt_rows(held, f"margin_{k}", sizes[k]["pos"], sizes[k]["neg"]))
+            return [svm, sigmoid]
+
+        with ThreadPoolExecutor(parallel) as pool:
+            fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(fit_fold), order))
+    finally:
+        rows.unpersist()
+    outputs = [f"probability_{k}" for k in order]
+    return _bundle(name, names, [*stages, *[m for pair in fitted for m in pair]], outputs)
+
+
+def _svm_rows(df: DataFrame, stages: Sequence[Transformer], label: str, key: str, folds: int) -> DataFrame:
     folded = stratified_folds(df, key, label, folds, "_fold", SEED)
-    rows = _run(stages, with_class_weight(folded, label)).select(
+    return _run(stages, with_class_weight(folded, label)).select(
         F.col("vector"), F.col(label).alias("_y"), "weight", "_fold"
     )
-    sizes = {r["_fold"]: r for r in rows.groupBy("_fold").agg(
-        F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")
-    ).collect()}
-
-    def fit_fold(k: int) -> list[Transformer]:
-        inside = rows.filter(F.col("_fold") != k)
-        n_inside = n - sizes[k]["pos"] - sizes[k]["neg"]
-        svm = LinearSVC(
-            featuresCol="vector", labelCol="_y", weightCol="weight", regParam=1.0 / (C * n_inside),
-            standardization=False, maxIter=SVM_ITERATIONS, tol=LINEAR_TOLERANCE,
-            rawPredictionCol=f"margin_{k}", predictionCol=f"side_{k}",
-        ).fit(inside)
-        held = svm.transform(rows.filter(F.col("_fold") == k))
-        sigmoid = LogisticRegression(
-            featuresCol=f"margin_{k}", labelCol="_t", weightCol="_w", rawPredictionCol=f"logit_{k}",
-            probabilityCol=f"probability_{k}", predictionCol=f"class_{k}",
-        ).fit(_platt_rows(held, f"margin_{k}", sizes[k]["pos"], sizes[k]["neg"]))
-        return [svm, sigmoid]
-
-    with ThreadPoolExecutor(parallel) as pool:
-        fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(fit_fold), sorted(sizes)))
-    outputs = [f"probability_{k}" for k in sorted(sizes)]
-    return _bundle(name, names, [*stages, *[m for pair in fitted for m in pair]], outputs)
+
+
+def svm_gradients(
+    bundle: Bundle, df: DataFrame, label: str, key: str, C: float = 1.0, folds: int = CALIBRATION_FOLDS
+) -> list[np.ndarray]:
+    """Per fold the gradient of its machine's objective at the fitted coefficients, per unit of the rows' weight.
+
+    It is zero at the optimum.
+    """
+    stages = bundle.pipeline.stages
+    machines = stages[len(stages) - 2 * folds :: 2]
+    rows = _svm_rows(df, stages[: len(stages) - 2 * folds], label, key, folds)
+    data = margin_rows(rows, "vector", "_y", "weight", "_fold").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weights = [np.append(m.coefficients.toArray(), m.intercept) for m in machines]
+        return [margin_gradient(data, w, k, C) for k, w in enumerate(weights)]
+    finally:
+        data.unpersist()
 
 
 def _platt_rows(held: DataFrame, margin: str, pos: int, neg: int) -> DataFrame:
@@ -375,7 +407,9 @@ def fit_balanced_mlp(
 ) -> Bundle:
     """Perceptron on robustly scaled features, the minority class drawn up to the majority.
 
-    `quartiles_from` is the same rows as `assembled` leaves them, if those are at hand. The rows are
+    Trained in rounds with an L2 term; a tenth of the keys is set aside, training stops when their loss has not
+    fallen for ten rounds, and the best round's weights are kept. `iterations` is the most rounds there can be.
+    `notes` holds the rounds' losses, the best one, and whether it stopped early. `quartiles_from` is the same rows as `assembled` leaves them, if those are at hand. The rows are
     bounded by `max_fit_rows` before any are drawn again.
     """
     if max_fit_rows is not None:
@@ -387,10 +421,15 @@ def fit_balanced_mlp(
     robust = RobustScale.fit(df if vector is None else quartiles_from, features, exact, vector)
     stage, columns = robust_stage(robust)
     balanced = upsample_minority(df, key, label, SEED)
-    fitted = fit_mlp(
-        balanced, columns, label, hidden, iterations, scale=False, before=[stage], name=name
-    )
-    fitted.features, fitted.inputs, fitted.notes = list(features), list(features), notes
+    stages, _ = _vectors(_run([stage], balanced), columns, 0, scale=False, center=True)
+    plan = Schedule(iterations, BALANCED_MLP_RATE, BALANCED_MLP_PENALTY, seed=SEED)
+    layers = [len(columns), *hidden, 2]
+    held = held_by_key(key, plan.held_share, SEED)
+    trained = train_network(_run([stage, *stages], balanced), "vector", label, held, layers, plan)
+    model = network_model(df.sparkSession, trained.weights, layers)
+    notes |= {"losses": trained.losses, "best": trained.best, "stopped": trained.stopped}
+    fitted = _bundle(name, columns, [stage, *stages, model], ["probability"], notes=notes)
+    fitted.features, fitted.inputs = list(features), list(features)
     return fitted
 
 
@@ -411,12 +450,17 @@ def robust_stage(scaling) -> tuple[SQLTransformer, list[str]]:
 
 @dataclass
 class Latent:
-    """Stages from columns to a latent vector in column `output`."""
+    """Stages from columns to a latent vector in column `output`.
+
+    `basis` has a direction per latent as its columns, `variances` what each accounts for.
+    """
 
     stages: list[Transformer]
     features: list[str]
     output: str
     k: int
+    basis: np.ndarray
+    variances: np.ndarray
 
     def encode(self, df: DataFrame) -> DataFrame:
         """`df` with the latent vector; what the stages need on the way is dropped."""
@@ -432,14 +476,69 @@ def fit_latent(
     """
     stages, names = _vectors(df, features, df.count(), scale=True, center=True)
     pca = PCA(k=k, inputCol="vector", outputCol=output).fit(_run(stages, df))
-    return Latent([*stages, pca], names, output, k)
+    return Latent([*stages, pca], names, output, k, pca.pc.toArray(), pca.explainedVariance.toArray())
+
+
+def window_moments(flags: np.ndarray, width: int = HISTORY_WINDOW) -> tuple[np.ndarray, int]:
+    """What the outer products of all histories say of the outer products of their windows.
 
+    `flags` is the sum of outer products of history flags with a constant 1 before them. A window is `width`
+    positions next to each other, of which some may lie before the first or after the last position. Returns
+    the windows' summed outer products (with the constant) and the number of windows of one history.
+    """
+    codes, positions = len(S.HISTORY_CODES), S.HISTORY_POSITIONS
+    total = np.zeros((1 + width * codes, 1 + width * codes))
+    starts = range(1 - width, positions)
+    for at in starts:
+        # Which flag (or the constant) each entry of the window is; none beyond the edges.
+        entry = [0] + [
+            1 + (at + j) * codes + c if 0 <= at + j < positions else -1 for j in range(width) for c in range(codes)
+        ]
+        here = np.array(entry) >= 0
+        total[np.ix_(here, here)] += flags[np.ix_(np.array(entry)[here], np.array(entry)[here])]
+    return total, len(starts)
+
+
+def fit_history_latent(
+    df: DataFrame, k: int = HISTORY_LATENTS, output: str = "hist_latent", width: int = HISTORY_WINDOW
+) -> Latent:
+    """`k` filters over windows of positions, shared by all positions, and their mean responses as the latents.
 
-def fit_history_latent(df: DataFrame, k: int = HISTORY_LATENTS, output: str = "hist_latent") -> Latent:
-    """Principal components of the 252 history flags, unscaled, from sparse vectors."""
-    stages, names = input_stages(df, S.HISTORY_FEATURES, "history_flags")
-    pca = PCA(k=k, inputCol="history_flags", outputCol=output).fit(_run(stages, df))
-    return Latent([*stages, pca], names, output, k)
+    The filters are the principal directions of all windows of all histories. One pass sums the histories' outer
+    products on the executors; the windows' follow from them. A response is a sigmoid of the filtered window in units
+    of its spread, so that the mean keeps what stands next to what and not only how often each code occurs.
+    A history that is moved inside its positions has the same latents. The filters run as one layer of the
+    library's perceptron, whose weights are the filters at every place, and the mean is its second layer.
+    """
+    stages, names = input_stages(df, S.HISTORY_FEATURES, f"{output}_flags")
+    n, sums, outer = second_moments(_run(stages, df), f"{output}_flags")
+    whole = np.block([[np.array([[float(n)]]), sums[None, :]], [sums[:, None], outer]])
+    moments, places = window_moments(whole, width)
+    mean = moments[0, 1:] / max(n * places, 1)
+    spread = moments[1:, 1:] / max(n * places, 1) - np.outer(mean, mean)
+    values, vectors = np.linalg.eigh(spread)
+    order = np.argsort(-values, kind="stable")[:k]
+    filters, variances = vectors[:, order], np.maximum(values[order], 0.0)
+    # A direction and its opposite are the same; the larger side is taken as positive.
+    filters = filters * np.where(np.abs(filters.min(0)) > filters.max(0), -1.0, 1.0)
+    scale = np.where(variances > 1e-12, 1.0 / np.sqrt(np.maximum(variances, 1e-12)), 1.0)
+    codes, positions = len(S.HISTORY_CODES), S.HISTORY_POSITIONS
+    first = np.zeros((positions * codes, places * k))
+    for place in range(places):
+        for j in range(width):
+            at = place + 1 - width + j
+            if 0 <= at < positions:
+                first[at * codes : (at + 1) * codes, place * k : (place + 1) * k] = (
+                    filters[j * codes : (j + 1) * codes] * scale
+                )
+    bias = np.tile(-(mean @ filters) * scale, places)
+    average = np.tile(np.eye(k) / places, (places, 1))
+    weights = np.concatenate((first.ravel(), bias, average.ravel(), np.zeros(k)))
+    model = network_model(
+        df.sparkSession, weights, [positions * codes, places * k, k], f"{output}_flags", rawPredictionCol=output,
+        probabilityCol=f"{output}_shares", predictionCol=f"{output}_largest",
+    )
+    return Latent([*stages, model], names, output, k, filters, variances)
 
 
 def fit_on_latents(
@@ -470,14 +569,14 @@ def _own_columns(latent: Latent) -> list[Transformer]:
     out, renamed = [], {}
     for stage in latent.stages:
         copy = stage.copy()
-        for param in ("inputCol", "inputCols", "outputCol"):
+        for param in ("inputCol", "inputCols", "featuresCol", "outputCol"):
             if not copy.hasParam(param) or not copy.isDefined(param):
                 continue
             value = copy.getOrDefault(param)
             if param == "inputCols":
                 copy._set(inputCols=[renamed.get(v, v) for v in value])
-            elif param == "inputCol":
-                copy._set(inputCol=renamed.get(value, value))
+            elif param in ("inputCol", "featuresCol"):
+                copy._set(**{param: renamed.get(value, value)})
             elif value != latent.output:
                 renamed[value] = f"{latent.output}_{value}"
                 copy._set(outputCol=renamed[value])
@@ -498,12 +597,23 @@ def fit_hybrid(
 def reconstruction_error(df: DataFrame, latent: Latent) -> DataFrame:
     """Mean squared error per input column when only the first 1..k components are kept.
 
-    Each task reduces its rows to one sum per (components kept, column); only those sums move.
+    From the second moments of the rows, which one pass sums on the executors: what a projection leaves of them
+    is on their diagonal.
     """
-    pca = latent.stages[-1]
-    source = pca.getInputCol()
-    basis, k = pca.pc.toArray(), latent.k
-    names = latent.features
+    source = latent.stages[-1].getInputCol()
+    n, _, outer = second_moments(_run(latent.stages[:-1], df), source)
+    rows, rest = [], outer / max(n, 1)
+    for i in range(latent.k if n else 0):
+        side = np.eye(len(rest)) - np.outer(latent.basis[:, i], latent.basis[:, i])
+        rest = side @ rest @ side.T
+        rows += [(i + 1, c, max(float(e), 0.0)) for c, e in zip(latent.features, np.diag(rest))]
+    # Components times columns rows.
+    return df.sparkSession.createDataFrame(rows, "components int, column_name string, mse double")
+
+
+def direct_reconstruction_error(df: DataFrame, latent: Latent) -> DataFrame:
+    """The same by reconstructing every row: each task reduces its rows to one sum per (components kept, column)."""
+    source, basis, k, names = latent.stages[-1].getInputCol(), latent.basis, latent.k, latent.features
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         errors, n = np.zeros((k, len(names))), 0
