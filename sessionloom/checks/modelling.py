@@ -137,7 +137,7 @@ def m_mlp_balanced(spark, d):
     losses = bundle.notes["losses"]
     scores = _held_out(
         bundle, test, FAMILY, layers=layers, best_round=bundle.notes["best"] == int(np.argmin(losses)),
-        in_budget=len(losses) <= M.BALANCED_MLP_ITERATIONS + 1, learned=min(losses) < 0.7 * losses[0],
+        in_budget=len(losses) <= M.BALANCED_MLP_ITERATIONS // M.BALANCED_MLP_PASSES + 1, learned=min(losses) < 0.7 * losses[0],
     )
     # Drawing the rare class up to the frequent one trades accuracy for recall.
     return scores.drop("better_than_majority")

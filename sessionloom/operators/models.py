@@ -74,6 +74,9 @@ SVM_TOLERANCE = 1e-6
 SVM_STEPS = 200
 #: The networks' steps: hidden units are sigmoids, which need larger ones than rectified units do.
 BALANCED_MLP_RATE = 3e-3
+#: Passes over the rows between two looks at the rows set aside, and looks without a smaller loss that end a fit.
+BALANCED_MLP_PASSES = 5
+BALANCED_MLP_PATIENCE = 3
 
 
 @dataclass
@@ -407,8 +410,8 @@ def fit_balanced_mlp(
 ) -> Bundle:
     """Perceptron on robustly scaled features, the minority class drawn up to the majority.
 
-    Trained in rounds with an L2 term; a tenth of the keys is set aside, training stops when their loss has not
-    fallen for ten rounds, and the best round's weights are kept. `iterations` is the most rounds there can be.
+    Trained in rounds of five passes with an L2 term; a tenth of the keys is set aside, training stops when their
+    loss has not fallen for three rounds, and the best round's weights are kept. `iterations` bounds the passes.
     `notes` holds the rounds' losses, the best one, and whether it stopped early. `quartiles_from` is the same rows as `assembled` leaves them, if those are at hand. The rows are
     bounded by `max_fit_rows` before any are drawn again.
     """
@@ -422,7 +425,10 @@ def fit_balanced_mlp(
     stage, columns = robust_stage(robust)
     balanced = upsample_minority(df, key, label, SEED)
     stages, _ = _vectors(_run([stage], balanced), columns, 0, scale=False, center=True)
-    plan = Schedule(iterations, BALANCED_MLP_RATE, BALANCED_MLP_PENALTY, seed=SEED)
+    plan = Schedule(
+        -(-iterations // BALANCED_MLP_PASSES), BALANCED_MLP_RATE, BALANCED_MLP_PENALTY, passes=BALANCED_MLP_PASSES,
+        patience=BALANCED_MLP_PATIENCE, seed=SEED,
+    )
     layers = [len(columns), *hidden, 2]
     held = held_by_key(key, plan.held_share, SEED)
     trained = train_network(_run([stage, *stages], balanced), "vector", label, held, layers, plan)

@@ -14,6 +14,7 @@ from sessionloom.operators import models as M
 from sessionloom.operators import networks as N
 from sessionloom.operators import partial_sums as Q
 from sessionloom.operators import prepare as P
+from sessionloom.operators.scaling import exact_quartiles
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +189,36 @@ def test_history_latents_share_their_filters(spark, compact):
     assert np.abs(z[0] - z[2]).max() > 1e-3
     bundle = M.fit_hybrid(compact, FAMILY)
     assert bundle.add_score(compact).filter("score between 0 and 1").count() == compact.count()
+
+
+@pytest.mark.parametrize("n,most", [(1, 1000), (7, 1000), (99, 1000), (400, 1000), (5000, 1000), (30_000, 1000), (30_000, 5)])
+def test_quartiles_by_brackets(spark, n, most):
+    """Against NumPy, with hot values, gaps, columns without values, and brackets that must be narrowed."""
+    rng = np.random.default_rng(n + most)
+    x = np.column_stack((
+        rng.normal(size=n) * 1e6, rng.integers(0, 2, n), np.where(rng.random(n) < 0.4, 7.5, rng.normal(size=n)),
+        np.full(n, 3.0), rng.integers(0, 50, n), np.where(rng.random(n) < 0.9, 0.0, rng.exponential(size=n)),
+    ))
+    gaps = rng.random(n) < 0.3
+    rows = [([*map(float, a), None if g else float(a[0]), None, float("nan") if g else 1.0 * float(a[4])],) for a, g in zip(x, gaps)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(5)
+    got = exact_quartiles(df, F.col("v"), 9, most)
+    for c in range(6):
+        assert got[c] == pytest.approx(np.percentile(x[:, c], [25, 50, 75]).tolist(), rel=1e-12)
+    if (~gaps).any():
+        assert got[6] == pytest.approx(np.percentile(x[~gaps, 0], [25, 50, 75]).tolist(), rel=1e-12)
+        assert got[8] == pytest.approx(np.percentile(x[~gaps, 4], [25, 50, 75]).tolist(), rel=1e-12)
+    assert 7 not in got and exact_quartiles(df.limit(0), F.col("v"), 9) == {}
+
+
+def test_quartiles_need_no_sort_and_two_scans(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(50_000).select(F.array(F.col("id").cast("double"), (F.col("id") % 3).cast("double")).alias("v"))
+    got = exact_quartiles(df.mapInArrow(counted, df.schema), F.col("v"), 2)
+    assert got == {0: [12499.75, 24999.5, 37499.25], 1: [0.0, 1.0, 2.0]} and read.value == 100_000
