@@ -12,6 +12,7 @@ from sessionloom import schemas as S
 from sessionloom.checks import oracle_base as O
 from sessionloom.operators import normalize as N
 from sessionloom.operators import quality as Q
+from sessionloom.plans import incremental as I
 from sessionloom.plans import warehouse as W
 from sessionloom.session import scratch_path
 from sessionloom.sources import checked_load as C
@@ -290,6 +291,30 @@ def n_rebuild_counts(spark, d):
     return N.table_counts(W.rebuild(X.conn(spark, d), scratch_path(spark, "tables")))
 
 
+def n_incremental(spark, d):
+    """Sessions with their service and label by name, from tables grown by a stream, a file at a time; every
+    file of the first capture is delivered twice."""
+    base = scratch_path(spark, "grown")
+    lines = _lines(spark, d)
+    X.one_file_per_capture(lines, f"{base}/first", "text")
+    for delivered in ("first", "*"):
+        if delivered == "*":
+            X.one_file_per_capture(lines.filter("source_file = 'capture_1.csv'"), f"{base}/again", "text")
+        raw = L.raw_from_lines(stream_lines(spark, f"{base}/{delivered}/files/*", 1))
+        I.stream_tables(raw, f"{base}/tables", f"{base}/checkpoint")
+    return _named_sessions(I.open_grown(spark, f"{base}/tables"))
+
+
+def _named_sessions(t: dict[str, DataFrame]) -> DataFrame:
+    services = t["session_service"].join(t["service"], "svc_id").select("uid", "svc_name")
+    labels = t["session_label"].join(t["label"], "label_id").select("uid", "label_name")
+    codes = t["session_history"].groupBy("uid").agg(F.count("*").alias("n_codes"))
+    return (
+        t["session"].select("uid", "source_file").join(services, "uid", "left").join(labels, "uid", "left")
+        .join(codes, "uid", "left").withColumn("n_codes", F.coalesce("n_codes", F.lit(0)))
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -301,6 +326,7 @@ QUERIES = {
         q_pk_violations, q_fk_violations, q_drop_if_present, n_service_dim, n_label_dim,
         n_history_legend, n_session, n_session_service, n_session_label,
         n_session_label_literal, n_tunnel_parent, n_session_history, n_rebuild_counts,
+        n_incremental,
     ]
 }
 QUERIES |= {f"n_sat_{c}": _satellite(c) for c in S.SATELLITES.values()}
@@ -431,6 +457,10 @@ ORACLE = {
     ),
     "n_tunnel_parent": O.with_tables("SELECT * FROM tunnel_parent"),
     "n_session_history": O.with_tables("SELECT * FROM session_history"),
+    "n_incremental": O.with_tables(
+        "SELECT c.uid, c.source_file, c.service AS svc_name, c.detailed_label AS label_name,"
+        " count(h.history_id) AS n_codes FROM conn c LEFT JOIN session_history h ON c.uid = h.uid GROUP BY ALL"
+    ),
     "n_rebuild_counts": O.with_tables(
         "\nUNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS n FROM {src}"

@@ -58,11 +58,11 @@ def impute_with_flag(name: str, col: Column | None = None) -> list[Column]:
 
 def ipv4_to_int(address: Column) -> Column:
     """Dotted-quad address as an unsigned 32-bit number; anything else is null."""
-    octets = F.transform(F.split(address, r"\.", -1), lambda p: p.try_cast("bigint"))
-    digits_only = address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    in_range = F.forall(octets, lambda o: o <= 255)
-    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
-    return F.when(digits_only & in_range, number)
+    parts = F.split(address, r"\.", -1)
+    octets = [F.get(parts, i).try_cast("bigint") for i in range(4)]
+    dotted_quad = address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    in_range = F.greatest(*octets) <= 255
+    return F.when(dotted_quad & in_range, ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3])
 
 
 def simple_label(label: Column) -> Column:

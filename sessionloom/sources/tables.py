@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom import schemas as S
-from sessionloom.session import stable
+from sessionloom.session import scratch_path
 from sessionloom.sources.conn_log import null_tokens_except_source, to_raw
 
 CSV_TEXT = T.StructType([T.StructField(n, T.StringType()) for n in S.LOG_FIELDS])
@@ -89,20 +89,21 @@ def append_metrics(df: DataFrame, path: str) -> None:
 def with_row_id(df: DataFrame, order: Iterable[str | Column], name: str = "id") -> DataFrame:
     """Number the rows 1, 2, ... in the given order without a window over all rows.
 
-    The rows are range-partitioned and sorted, and that layout is written once; an id is the
-    row's place in its partition plus the sizes of the partitions before it. `order` should
-    identify rows, so that no run of equal keys makes a partition large.
+    The rows are range-partitioned and sorted, and written once with their partition and place; an id is the place
+    plus the sizes of the partitions before, which are counted from the written partition numbers alone. `order`
+    should identify rows, so that no run of equal keys makes a partition large.
     """
-    placed = stable(_sorted_by_range(df, list(order)))
-    place = F.monotonically_increasing_id()
-    in_partition = place.bitwiseAND((1 << 33) - 1)
-    numbered = placed.withColumn("_part", F.spark_partition_id()).withColumn("_row", in_partition)
-    sizes = partition_offsets(numbered, [], {"_n": F.count(F.lit(1))})
-    return (
-        numbered.join(F.broadcast(sizes), "_part")
-        .withColumn(name, F.col("_row") + F.col("_n") + 1)
-        .drop("_part", "_row", "_n")
+    path = scratch_path(df.sparkSession, "row-ids")
+    in_partition = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    placed = _sorted_by_range(df, list(order)).select(
+        whole.alias("whole"), F.spark_partition_id().alias("_part"), in_partition.alias("_row")
     )
+    placed.write.option("compression", "zstd").parquet(path)
+    numbered = df.sparkSession.read.parquet(path)
+    sizes = partition_offsets(numbered, [], {"_n": F.count(F.lit(1))})
+    columns = [F.col(f"whole.`{c}`").alias(c) for c in df.columns if c != name]
+    return numbered.join(F.broadcast(sizes), "_part").select(*columns, (F.col("_row") + F.col("_n") + 1).alias(name))
 
 
 def _sorted_by_range(df: DataFrame, order: list) -> DataFrame:
