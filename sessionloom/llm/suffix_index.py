@@ -1,7 +1,7 @@
 """Byte-level dedup with a logarithmic family of suffix-array indexes.
 
 A string of `LENGTH` bytes that also starts in a document with a smaller id is a repeat; every byte that a
-repeat covers is removed. Documents come in batches of ascending ids. Each batch gets a suffix array;
+repeat covers is removed. Documents come in batches of ascending ids and of a fixed size. Each batch gets a suffix array;
 it is merge-scanned against the levels that are there, and then becomes a level of its own. Before
 the next batch, levels of equal size are merged, so after n batches there are about log2(n) levels
 and every suffix was rewritten at most that often.
@@ -44,7 +44,8 @@ GRAM = 24
 WINDOWS = LENGTH - GRAM + 1
 #: Bits of a fingerprint in the index.
 BITS = 48
-BATCHES = 4
+#: Text of one batch, about.
+BATCH_BYTES = 128 << 20
 #: Ranges of the index and groups of the comparison, per shuffle partition.
 GROUPS = 4
 U = np.uint64
@@ -384,16 +385,20 @@ def _remove(groups: int):
 
 
 def dedup_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES,
     block_bytes: int = B.BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every document without its repeated bytes.
 
-    `batches` is how many batches of about as many documents, by ascending id, are added to the index.
+    Batches of about as many documents each, by ascending id, are added to the index one after the other. There is
+    one for every `batch_bytes` of text, so their number follows the data; a batch should fill the cluster.
     """
     spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    batches = max(1, -(-total // batch_bytes))
     shares = [k / batches for k in range(1, batches)] or [0.5]
-    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, 1000).alias("c")).first().c
+    accuracy = max(1000, 10 * batches)
+    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, accuracy).alias("c")).first().c
     last = sorted({c + 1 for c in cuts or []}) if batches > 1 else []
     table = B.write_blocks(docs, id_col, text_col, block_bytes, last)
     index = SuffixIndex(spark)

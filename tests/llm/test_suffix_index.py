@@ -30,8 +30,8 @@ def order(rows):
     return sorted(((a, b, c, d, bytes(e)) for a, b, c, d, e in rows), key=str)
 
 
-@pytest.mark.parametrize("seed,batches,block_bytes", [(1, 4, 8 << 20), (2, 5, 3000), (3, 1, 500)])
-def test_equals_brute_force(spark, seed, batches, block_bytes):
+@pytest.mark.parametrize("seed,batch_bytes,block_bytes", [(1, 5000, 8 << 20), (2, 4000, 3000), (3, 1 << 30, 500)])
+def test_equals_brute_force(spark, seed, batch_bytes, block_bytes):
     r = random.Random(seed)
     text = lambda n: "".join(r.choices("abcdé \n", k=n))
     passages = [text(r.randint(45, 120)) for _ in range(8)]
@@ -46,7 +46,7 @@ def test_equals_brute_force(spark, seed, batches, block_bytes):
         rows.append((r.choice([i, i, i, 7, None]), "".join(parts)))
     rows += [(900, None), (901, ""), (902, "x" * 49), (903, "x" * 50), (904, "x" * 51), (3, rows[0][1]), (905, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as block", "2 as kept").repartition(4)
-    got = dedup_bytes(df, batches=batches, block_bytes=block_bytes).collect()
+    got = dedup_bytes(df, batch_bytes=batch_bytes, block_bytes=block_bytes).collect()
     assert order(got) == order(brute(rows))
 
 
@@ -67,3 +67,22 @@ def test_levels_merge_geometrically(spark):
         index.add(B.write_blocks(df, "doc_id", "text"))
         sizes.append([n for n, _, _ in index.levels])
     assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1]]
+
+
+def test_the_number_of_levels_follows_the_data(spark, monkeypatch):
+    """Sixteen batches through the operator: each addition merges what became equal."""
+    sizes, add = [], SuffixIndex.add
+
+    def watched(self, blocks):
+        add(self, blocks)
+        sizes.append([n for n, *_ in self.levels])
+
+    monkeypatch.setattr(SuffixIndex, "add", watched)
+    r = random.Random(6)
+    rows = [(i, "".join(r.choices("abcdefgh ", k=200))) for i in range(80)]
+    rows += [(80 + i, rows[i][1]) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup_bytes(df, batch_bytes=2000).collect()
+    assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1], [4, 2, 1, 1], [8, 1], [8, 1, 1], [8, 2, 1],
+                     [8, 2, 1, 1], [8, 4, 1], [8, 4, 1, 1], [8, 4, 2, 1], [8, 4, 2, 1, 1]]
+    assert all(x.n_removed == (200 if x.doc_id >= 80 else 0) for x in got)
