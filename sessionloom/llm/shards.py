@@ -64,9 +64,10 @@ def uniform_shards(rows: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
     spark = rows.sparkSession
     columns = [c for c in rows.columns if c not in ("shard", "slot")]
     path = scratch_path(spark, "shard-input")
+    # Columns of the input travel as one, so that none of their names can clash with those used here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None).cast("int")
     rows.select(
-        *[F.col(f"`{c}`") for c in columns], F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().alias("_pos"),
+        whole.alias("whole"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_pos")
     ).write.parquet(path)
     placed = spark.read.parquet(path)
     counts = placed.groupBy("_part").count().orderBy("_part").collect()
@@ -94,5 +95,5 @@ def uniform_shards(rows: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
     )
     inside = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 1), "_pos"), "_pos")
     return dealt.withColumn("slot", F.col("_begin") + F.row_number().over(inside) - 1).select(
-        *[F.col(f"`{c}`") for c in columns], "shard", "slot"
+        *[F.col(f"whole.`{c}`").alias(c) for c in columns], "shard", "slot"
     )

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sessionloom.llm.shards import communication_matrix, uniform_shards
 
@@ -44,3 +45,13 @@ def test_few_rows(spark):
     df = spark.range(3)
     assert sorted(r.slot for r in uniform_shards(df, 8).collect()) == [0, 0, 0]
     assert uniform_shards(df.limit(0), 8).collect() == []
+
+
+def test_clashing_column_names(spark):
+    names = ["_part", "_pos", "_cell", "_from", "_to", "_begin", "_rank", "whole", "shard", "slot", "a.b"]
+    df = spark.range(50).select(*[(F.col("id") + k).alias(n) for k, n in enumerate(names)]).repartition(3)
+    got = uniform_shards(df, 8)
+    kept = [n for n in names if n not in ("shard", "slot")]
+    assert got.columns == [*kept, "shard", "slot"]
+    rows = sorted(tuple(r)[:-2] for r in got.collect())
+    assert rows == sorted(tuple(i + names.index(n) for n in kept) for i in range(50))
