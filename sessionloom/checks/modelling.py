@@ -185,6 +185,20 @@ def m_latent_tabular(spark, d):
     return out.drop("better_than_majority")
 
 
+def m_autoencoder(spark, d):
+    """Latents of a network that gives back the rows of one capture, and a classifier on them, applied to another."""
+    train, test = P.capture_split(_compact(spark, d), "capture_1.csv", "capture_2.csv")
+    train = P.fit_sample(train, "uid", LABEL, FIT_ROWS, M.SEED)
+    with _kept(train):
+        fitted = M.fit_autoencoder(train, S.TABULAR_FEATURES, "uid", M.TABULAR_LATENTS)
+        error = M.autoencoder_error(train, fitted)
+        bundle = M.fit_on_latents(train, [fitted.latent], LABEL)
+    out = _held_out(
+        bundle, test, learned=error < 0.8 * fitted.losses[0], width=len(bundle.features) == M.TABULAR_LATENTS
+    )
+    return out.drop("better_than_majority")
+
+
 def m_latent_mlp(spark, d):
     tabular = lambda train: [M.fit_latent(train, S.ALL_FEATURES, M.FULL_LATENTS)]
     return _latent_rows(spark, d, tabular, M.LATENT_MLP_HIDDEN)
@@ -362,7 +376,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         m_logreg, m_logreg_balanced, m_logreg_group, m_random_forest, m_calibrated_svm, m_mlp,
-        m_mlp_balanced, m_latent_tabular, m_latent_mlp, m_latent_history, m_hybrid, m_recon_error, m_recon_direct,
+        m_mlp_balanced, m_latent_tabular, m_autoencoder, m_latent_mlp, m_latent_history, m_hybrid, m_recon_error, m_recon_direct,
         m_top_coefficients, m_top_input_weights, m_score_all, m_bundle_roundtrip, m_predict_capture,
         m_hybrid_unseen, m_clean_train, m_train_all, e_evaluate_capture,
     ]
@@ -439,6 +453,7 @@ ORACLE = {
     "m_mlp": _rows(LABEL, "better_than_majority", "layers"),
     "m_mlp_balanced": _rows(FAMILY, "layers", "best_round", "in_budget", "learned"),
     "m_latent_tabular": _unseen("capture_2.csv", LABEL, "orthonormal", "width"),
+    "m_autoencoder": _unseen("capture_2.csv", LABEL, "learned", "width"),
     "m_latent_mlp": _rows(LABEL, "orthonormal", "width"),
     "m_latent_history": _rows(LABEL, "orthonormal", "width", "shift_free"),
     "m_hybrid": _rows(LABEL, "orthonormal", "width"),

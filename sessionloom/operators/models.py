@@ -10,7 +10,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,16 @@ from pyspark.storagelevel import StorageLevel
 
 from sessionloom import schemas as S
 from sessionloom.operators.margins import fit_margins, margin_gradient, margin_model, margin_rows
-from sessionloom.operators.networks import Schedule, held_by_key, network_model, train_network
-from sessionloom.operators.partial_sums import second_moments
+from sessionloom.operators.networks import (
+    SELF,
+    Schedule,
+    held_by_key,
+    losses,
+    n_weights,
+    network_model,
+    train_network,
+)
+from sessionloom.operators.partial_sums import matrix, second_moments, summed
 from sessionloom.operators.prepare import (
     align_inputs,
     fit_sample,
@@ -64,6 +72,8 @@ TABULAR_LATENTS = 4
 FULL_LATENTS = 20
 HISTORY_LATENTS = 2
 HISTORY_WINDOW = 3
+AUTOENCODER_HIDDEN = 64
+AUTOENCODER_EPOCHS = 20
 TOP_FEATURES = 15
 SEED = 42
 
@@ -547,6 +557,57 @@ def fit_history_latent(
     return Latent([*stages, model], names, output, k, filters, variances)
 
 
+@dataclass
+class Autoencoder:
+    """A latent that is no line: what encodes it, the whole network's layers and weights, its held-out losses."""
+
+    latent: Latent
+    layers: list[int]
+    weights: np.ndarray
+    losses: list[float]
+
+
+def fit_autoencoder(
+    df: DataFrame, features: Sequence[str], key: str, k: int = FULL_LATENTS, hidden: int = AUTOENCODER_HIDDEN,
+    rounds: int = AUTOENCODER_EPOCHS, output: str = "tab_latent", plan: Schedule | None = None,
+) -> Autoencoder:
+    """Latents of a network that gives back the standardised features through `k` units.
+
+    The layers are inputs, `hidden`, `k`, `hidden`, inputs. The network is trained in rounds with a share of the keys set
+    aside, and the best round is kept. The latents are what the `k` units take in, and are computed by the first
+    two layers as the library's perceptron.
+    """
+    stages, names = _vectors(df, features, df.count(), scale=True, center=True)
+    plan = plan or Schedule(rounds, rate=3e-3, penalty=0.0, batch=256, passes=BALANCED_MLP_PASSES, seed=SEED)
+    layers = [len(names), hidden, k, hidden, len(names)]
+    rows = _run(stages, df)
+    trained = train_network(rows, "vector", None, held_by_key(key, plan.held_share, SEED), layers, replace(plan, goal=SELF))
+    encoder = layers[:3]
+    model = network_model(
+        df.sparkSession, trained.weights[: n_weights(encoder)], encoder, rawPredictionCol=output,
+        probabilityCol=f"{output}_shares", predictionCol=f"{output}_largest",
+    )
+    latent = Latent([*stages, model], names, output, k, np.zeros((0, 0)), np.zeros(0))
+    return Autoencoder(latent, layers, trained.weights, trained.losses)
+
+
+def autoencoder_error(df: DataFrame, fitted: Autoencoder) -> float:
+    """Mean squared error over all rows and standardised features."""
+    vectors = _run(fitted.latent.stages[:-1], df).select(vector_to_array("vector").alias("x"))
+    layers, weights = fitted.layers, fitted.weights
+
+    def partial(batches: Iterator) -> np.ndarray:
+        out = np.zeros(2)
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                out += [losses(weights, layers, x, x, SELF).sum(), len(x)]
+        return out
+
+    total, n = summed(vectors, 2, partial)
+    return float(total / n) if n else 0.0
+
+
 def fit_on_latents(
     df: DataFrame, latents: Sequence[Latent], label: str, hidden: Sequence[int] | None = None,
     name: str = "latent", iterations: int = MLP_ITERATIONS,

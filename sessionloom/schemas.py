@@ -97,7 +97,7 @@ ID_COLUMNS = [
 ]
 
 # ---------------------------------------------------------------------------
-# Table schemas
+# Table schemas: fixed values, too. Column names and types have to agree with the stored tables.
 # ---------------------------------------------------------------------------
 
 

@@ -18,9 +18,19 @@ from sessionloom.functions.tokens import flag_token, null_token, repair_labels
 ALL_NULL_TOKENS = S.NULL_TOKENS + S.DEFAULT_NULL_TOKENS
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with the name of the file each came from."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source_file"))
+def capture_name(capture: str = "file") -> Column:
+    """The capture that a line read from a file belongs to: the file's name, or its folder's."""
+    if capture == "file":
+        return F.col("_metadata.file_name")
+    if capture == "folder":
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    raise ValueError("capture must be 'file' or 'folder'")
+
+
+def read_lines(spark: SparkSession, path: str, capture: str = "file") -> DataFrame:
+    """Log lines with the name of the file, or folder, that each came from."""
+    return spark.read.text(path).select("value", capture_name(capture).alias("source_file"))
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
@@ -90,9 +100,9 @@ def with_source(df: DataFrame, name: str | Column) -> DataFrame:
     return df.withColumn("source_file", F.lit(name) if isinstance(name, str) else name)
 
 
-def read_conn_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log files to the typed raw relation in one lazy plan."""
-    return raw_from_lines(read_lines(spark, path))
+def read_conn_logs(spark: SparkSession, path: str, capture: str = "file") -> DataFrame:
+    """Log files to the typed raw relation in one lazy plan. Captures are files, or folders of files."""
+    return raw_from_lines(read_lines(spark, path, capture))
 
 
 def null_tokens_except_source(df: DataFrame) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from sessionloom.sources.conn_log import raw_from_lines
+from sessionloom.sources.conn_log import capture_name, raw_from_lines
 
 
-def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_lines(
+    spark: SparkSession, path: str, max_files: int | None = None, capture: str = "file"
+) -> DataFrame:
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).select("value", F.col("_metadata.file_name").alias("source_file"))
+    return reader.load(path).select("value", capture_name(capture).alias("source_file"))
 
 
 def stream_ingest(

@@ -92,3 +92,12 @@ def test_no_lines(spark, tmp_path):
     with pytest.raises(Exception, match="[Pp]ath"):
         C.load_checked(empty, str(tmp_path / "out"))
     assert C.checked_lines(empty).filter(F.col("problem").isNotNull()).count() == 0
+
+
+def test_captures_named_by_their_folders(spark, tmp_path):
+    for name in ("one", "a b+c"):
+        spark.createDataFrame([(line(),)], "value string").coalesce(1).write.text(str(tmp_path / "logs" / name))
+    got = L.read_conn_logs(spark, str(tmp_path / "logs" / "*"), capture="folder")
+    assert {r.source_file for r in got.collect()} == {"one", "a b+c"}
+    with pytest.raises(ValueError):
+        L.read_lines(spark, str(tmp_path), capture="host")

@@ -222,3 +222,36 @@ def test_quartiles_need_no_sort_and_two_scans(spark):
     df = spark.range(50_000).select(F.array(F.col("id").cast("double"), (F.col("id") % 3).cast("double")).alias("v"))
     got = exact_quartiles(df.mapInArrow(counted, df.schema), F.col("v"), 2)
     assert got == {0: [12499.75, 24999.5, 37499.25], 1: [0.0, 1.0, 2.0]} and read.value == 100_000
+
+
+def test_autoencoder_beats_the_linear_form_on_a_curve(spark):
+    """One latent for points along a curve, which no line follows."""
+    rng = np.random.default_rng(9)
+    t = rng.uniform(-1, 1, 1500)
+    x = np.column_stack((t, t**2, np.sin(3 * t), np.cos(3 * t))) + 0.02 * rng.normal(size=(1500, 4))
+    df = spark.createDataFrame([(f"k{i}", *map(float, a)) for i, a in enumerate(x)], "uid string, a double, b double, c double, d double")
+    names = ["a", "b", "c", "d"]
+    linear = M.fit_latent(df, names, 1)
+    line = M.reconstruction_error(df, linear).agg(F.avg("mse")).first()[0]
+    plan = N.Schedule(60, rate=0.02, penalty=0.0, batch=64, passes=10, patience=10)
+    fitted = M.fit_autoencoder(df, names, "uid", 1, hidden=16, plan=plan)
+    error = M.autoencoder_error(df, fitted)
+    assert error < 0.5 * line
+    scaled = (x - x.mean(0)) / x.std(0)
+    assert error == pytest.approx(N.losses(fitted.weights, fitted.layers, scaled, scaled, N.SELF).mean(), rel=1e-6)
+    got = {r.uid: r.z for r in fitted.latent.encode(df).select("uid", vector_to_array("tab_latent")[0].alias("z")).collect()}
+    (w1, b1), (w2, b2) = N.split_weights(fitted.weights, fitted.layers)[:2]
+    want = (1 / (1 + np.exp(-(scaled @ w1 + b1)))) @ w2 + b2
+    assert all(got[f"k{i}"] == pytest.approx(z[0], abs=1e-6) for i, z in enumerate(want))
+
+
+def test_self_gradient_by_differences():
+    rng = np.random.default_rng(10)
+    layers, x = [3, 4, 2, 4, 3], rng.normal(size=(8, 3))
+    w = N.first_weights(layers, 1)
+    got = N.gradient(w, layers, x, x, 0.0, N.SELF)
+    for k in range(0, len(w), 3):
+        step = np.zeros(len(w))
+        step[k] = 1e-6
+        want = (N.losses(w + step, layers, x, x, N.SELF).mean() - N.losses(w - step, layers, x, x, N.SELF).mean()) / 2e-6
+        assert got[k] == pytest.approx(want, abs=1e-6)
