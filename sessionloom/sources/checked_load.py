@@ -4,14 +4,14 @@ A line is malformed if, after the label repair, it has fewer or more fields than
 no missing-value token does not fit its column's type. Malformed lines are loaded all the same - missing fields and
 misfit cells are null, surplus fields are left out - and are also kept as they were, with what is wrong with them.
 Both go to one table in one pass, `clean=true` and `clean=false` apart, so the malformed ones are a folder of their
-own. Totals are observed while the rows are written; the report per file reads the column of problems alone.
+own. Totals and the report per file read the written column of problems alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,11 +69,15 @@ def _split_by_soundness(rows: DataFrame) -> DataFrame:
 
 
 def load_checked(lines: DataFrame, path: str, by: Iterable[str] = ("source_file",)) -> dict[str, int]:
-    """Write the lines' rows and problems below `path`; the totals seen on the way."""
-    seen = Observation("log lines")
-    rows = checked_lines(lines).observe(seen, *line_totals())
-    _split_by_soundness(rows).write.mode("errorifexists").partitionBy("clean", *by).parquet(path)
-    return seen.get
+    """Write the lines' rows and problems below `path`, and return the totals.
+
+    The totals come from the written column of problems, not from the text again. They are not observed on the
+    way as the stream's are: a session that has made an observation cannot run the library's model closures any
+    more, as it does not let itself be serialised with them.
+    """
+    _split_by_soundness(checked_lines(lines)).write.mode("errorifexists").partitionBy("clean", *by).parquet(path)
+    stated = T.StructType([T.StructField("problem", PROBLEM)])
+    return lines.sparkSession.read.schema(stated).parquet(path).agg(*line_totals()).first().asDict()
 
 
 def stream_checked(
