@@ -578,7 +578,7 @@ def fit_autoencoder(
     two layers as the library's perceptron.
     """
     stages, names = _vectors(df, features, df.count(), scale=True, center=True)
-    plan = plan or Schedule(rounds, rate=3e-3, penalty=0.0, batch=256, passes=BALANCED_MLP_PASSES, seed=SEED)
+    plan = plan or Schedule(rounds, rate=3e-3, penalty=0.0, batch=32, passes=BALANCED_MLP_PASSES, seed=SEED)
     layers = [len(names), hidden, k, hidden, len(names)]
     rows = _run(stages, df)
     trained = train_network(rows, "vector", None, held_by_key(key, plan.held_share, SEED), layers, replace(plan, goal=SELF))
