@@ -1,11 +1,12 @@
 """Exact shard sizes and the uniformity of the shuffle."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sessionloom.llm.shards import communication_matrix, uniform_shards
+from sessionloom.llm.shards import communication_matrix, draw_without_return, uniform_shards
 
 
 def test_matrix_follows_the_law():
@@ -18,6 +19,40 @@ def test_matrix_follows_the_law():
     assert abs(draws[:, 0, 0].var() - want) < 0.1
 
 
+def test_any_rows_of_the_matrix_alone():
+    rows, cols = np.array([5, 0, 900, 8, 31]), np.array([6, 4, 934, 0, 0])
+    whole = communication_matrix(rows, cols, 3)
+    for i in range(6):
+        for j in range(i, 6):
+            assert (communication_matrix(rows, cols, 3, i, j) == whole[i:j]).all()
+
+
+def test_draws_are_hypergeometric():
+    r = np.random.default_rng(5)
+    for good, bad, n in [(40, 60, 50), (3, 200, 90), (500, 20, 400), (1000, 1000, 17), (0, 9, 4), (9, 0, 9)]:
+        got = draw_without_return(r, np.full(40_000, good), np.full(40_000, bad), np.full(40_000, n))
+        # An independent way: the law's chances by logarithms of factorials.
+        log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+        low, high = max(0, n - bad), min(good, n)
+        assert low <= got.min() and got.max() <= high
+        want = np.array([math.exp(log(good, x) + log(bad, n - x) - log(good + bad, n)) for x in range(low, high + 1)]) * 40_000
+        seen = np.bincount(got - low, minlength=len(want))
+        often = want > 20
+        assert ((seen - want)[often] ** 2 / want[often]).sum() < often.sum() + 5 * np.sqrt(2 * often.sum())
+
+
+def test_draws_of_any_size():
+    r = np.random.default_rng(6)
+    good, bad, n = 3 * 10**12, 10**12, 2 * 10**12
+    got = draw_without_return(r, np.full(3000, good), np.full(3000, bad), np.full(3000, n))
+    total = good + bad
+    spread = math.sqrt(n * (good / total) * (bad / total) * (total - n) / (total - 1))
+    z = (got - n * good / total) / spread
+    assert abs(z.mean()) < 0.08 and abs(z.var() - 1) < 0.12
+    sent = communication_matrix(np.full(3, 10**10), np.array([2 * 10**10, 10**10]), 1)
+    assert (sent.sum(1) == 10**10).all() and sent.sum(0).tolist() == [2 * 10**10, 10**10]
+
+
 def test_exact_sizes_and_slots(spark):
     rows = [(i % 90 if i % 7 else None, "same" if i % 3 else f"t{i}", i) for i in range(1003)]
     df = spark.createDataFrame(rows, "doc_id long, slot string, shard long").repartition(7)
