@@ -3,9 +3,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sessionloom.llm.pivot_index import embedding_groups
+from sessionloom.llm.pivot_index import NEAREST, Entries, embedding_groups, rank_difference
 from sessionloom.llm.queries import op5_result
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -75,6 +76,39 @@ def test_links_against_brute_force(spark, seed, block):
     assert [have[i].n_links for i in (9007, 9008, 9009)] == [2, 2, 2]
 
 
+def footrule(a, b):
+    """Ranks of all pivots that either names, the others' rank being the number of pivots."""
+    place = lambda p, x: p.index(x) if x in p else len(p)
+    return sum(abs(place(a, x) - place(b, x)) for x in {*a, *b})
+
+
+def test_rank_difference_against_its_definition():
+    r = np.random.default_rng(3)
+    a, b = (np.array([r.permutation(9)[:NEAREST] for _ in range(300)], np.int16) for _ in range(2))
+    assert rank_difference(a, b).tolist() == [footrule(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    assert rank_difference(a, a).tolist() == [0] * 300
+    assert rank_difference(a[:1], a[:1] + 20).tolist() == [NEAREST * (NEAREST + 1)]
+
+
+def entries(pivots):
+    n, v = len(pivots), np.ones(2).tobytes()
+    fixed = {"key": 1, "i": 0, "j": 0, "block": 0, "size": 1, "low": 0, "high": 1}
+    return Entries(pa.table({
+        **{k: np.full(n, x) for k, x in fixed.items()}, "id": np.arange(n),
+        "pivots": [np.array(p, np.int16).tobytes() for p in pivots], "vector": [v] * n,
+    }))
+
+
+def test_rank_differences_prune():
+    """All hold the same pivots (0 to 5): sets alone could not tell them apart."""
+    e = entries([[0, 1, 2, 3, 4, 5], [1, 0, 2, 3, 4, 5], [5, 4, 3, 2, 1, 0], [0, 1, 9, 8, 7, 6]])
+    a, b = np.array([0, 0, 0]), np.array([1, 2, 3])
+    pairs = lambda bound: e.candidates(a, b, bound)[1].tolist()
+    assert [pairs(k) for k in (1, 2, 17, 18, 20)] == [[], [1], [1], [1, 2], [1, 2, 3]]
+    u, v = e.close(np.arange(4), np.arange(4), 2)
+    assert set(zip(u.tolist(), v.tolist())) == {(i, i) for i in range(4)} | {(0, 1), (1, 0), (0, 3), (3, 0), (1, 3), (3, 1)}
+
+
 def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(2, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)], SCHEMA)
     assert sorted(map(tuple, embedding_groups(df).collect())) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
