@@ -10,8 +10,10 @@ to spans.
 A shard's index holds the runs of words that test items use, as far as they are as long as the
 shortest window, with one separator between runs: no other place can hold a window.
 
-The test items go to the tasks as slices of at most `SLICE_BYTES` of text. With more than one slice
-the same rows pass one search after the other; nothing is shuffled.
+Repeated test items are dropped first; the others go to the tasks as slices of about `SLICE_BYTES` of text,
+compressed. A task turns one slice at a time into windows, so neither the driver nor a task ever holds
+those of more than one. A pass over the documents takes `PASS_SLICES` slices, which bounds what is broadcast; the
+rows with what they have found so far are written before the next pass. Nothing is shuffled.
 
 Words are found by 64-bit hashes of their bytes. Nulls: a null text has no words; a null item id is
 the empty string; a null document id stays null. Repeated item ids count once, repeated documents
@@ -25,14 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.llm import blocks as B
+from sessionloom.session import scratch_path
 
 WINDOW = 13
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
+PASS_SLICES = 32
 #: Every so many text positions the suffix array's value is kept.
 SAMPLE = 16
 OTHER, FIRST_SYMBOL = 1, 2
@@ -65,12 +70,11 @@ class Phrases:
         hashes, at = words_of([t for _, t in items])
         self.vocabulary = np.unique(hashes)
         symbol = np.searchsorted(self.vocabulary, hashes) + FIRST_SYMBOL
-        rows = []
-        for item, (i, j) in enumerate(zip(at[:-1], at[1:])):
-            n = min(window, j - i)
-            rows += [(item, s, n) for s in range(i, j - n + 1)] if n else []
-        self.item, first, self.length = np.array(rows, np.int64).reshape(-1, 3).T
-        self.words = np.zeros((window, len(rows)), np.int64)
+        n = np.minimum(window, np.diff(at))
+        windows = np.where(n > 0, np.diff(at) - n + 1, 0)
+        self.item, self.length = np.repeat(np.arange(len(n)), windows), np.repeat(n, windows)
+        first = np.arange(len(self.item)) + np.repeat(at[:-1] - (np.cumsum(windows) - windows), windows)
+        self.words = np.zeros((window, len(first)), np.int32)
         for k in range(window):  # from the end
             live = self.length > k
             self.words[k, live] = symbol[(first + self.length - 1 - k)[live]]
@@ -200,8 +204,22 @@ def occurrences(phrases: Phrases, hashes: np.ndarray, doc: np.ndarray) -> tuple[
     return np.repeat(np.arange(len(n)), n), word[index.locate(rows)]
 
 
-def _search(phrases: Phrases, text_at: int):
+class Slices:
+    """The slices of a pass in a task; the windows of one slice are held at a time."""
+
+    def __init__(self, packed: list[Broadcast], window: int):
+        self.packed, self.window, self.no, self.now = packed, window, -1, None
+
+    def phrases(self, no: int) -> Phrases:
+        if no != self.no:
+            self.now = None
+            self.no, self.now = no, Phrases(B.unpack(self.packed[no].value), self.window)
+        return self.now
+
+
+def _search(packed: list[Broadcast], window: int, text_at: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = Slices(packed, window)
         for batch in batches:
             texts = [t or b"" for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
             spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
@@ -211,21 +229,23 @@ def _search(phrases: Phrases, text_at: int):
             for i, j in zip(cut, [*cut[1:], len(texts)]):
                 hashes, at = words_of(texts[i:j])
                 n_words[i:j] = np.diff(at)
-                if not len(phrases.length):
-                    continue
                 doc = np.repeat(np.arange(j - i), np.diff(at))
-                phrase, first = occurrences(phrases, hashes, doc)
-                edge = np.bincount(first, minlength=len(hashes) + 1)
-                edge -= np.bincount(first + phrases.length[phrase], minlength=len(hashes) + 1)
-                hit = np.cumsum(edge) > 0
-                pairs = np.unique(doc[first] * len(phrases.names) + phrases.item[phrase])
-                for d in np.unique(doc[first]):
-                    own = hit[at[d] : at[d + 1]].copy()
-                    for s, e in zip(spans[i + d][::2], spans[i + d][1::2]):
-                        own[s:e] = True
-                    spans[i + d] = merged(own).tolist()
-                for d, item in zip(*divmod(pairs, len(phrases.names))):
-                    items[i + d].append(phrases.names[item])
+                for no in range(len(packed)):
+                    phrases = slices.phrases(no)
+                    if not len(phrases.length):
+                        continue
+                    phrase, first = occurrences(phrases, hashes, doc)
+                    edge = np.bincount(first, minlength=len(hashes) + 1)
+                    edge -= np.bincount(first + phrases.length[phrase], minlength=len(hashes) + 1)
+                    hit = np.cumsum(edge) > 0
+                    pairs = np.unique(doc[first] * len(phrases.names) + phrases.item[phrase])
+                    for d in np.unique(doc[first]):
+                        own = hit[at[d] : at[d + 1]].copy()
+                        for s, e in zip(spans[i + d][::2], spans[i + d][1::2]):
+                            own[s:e] = True
+                        spans[i + d] = merged(own).tolist()
+                    for d, item in zip(*divmod(pairs, len(phrases.names))):
+                        items[i + d].append(phrases.names[item])
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:-3], pa.array(n_words),
@@ -240,17 +260,18 @@ def _search(phrases: Phrases, text_at: int):
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-    slice_bytes: int = SLICE_BYTES,
+    slice_bytes: int = SLICE_BYTES, pass_slices: int = PASS_SLICES,
 ) -> DataFrame:
     """All rows and columns of `docs` with n_words, spans and items.
 
     `spans` has start and end, in turn, of the merged runs of hit words; `items` the ids, as text and
     sorted, of the items whose windows occur.
     """
+    spark = docs.sparkSession
     tests = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"),
         F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t"),
-    )
+    ).distinct()
     total = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first().b
     n = max(1, -(-int(total) // slice_bytes))
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in STATE.names])
@@ -262,9 +283,18 @@ def find_contamination(
         }
     )
     at = rows.columns.index(text_col)
-    for k in range(n):
-        part = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        found = found.mapInArrow(_search(Phrases([(r.i, r.t.encode()) for r in part], window), at), schema)
+    for begin in range(0, n, pass_slices):
+        packed = []
+        for k in range(begin, min(n, begin + pass_slices)):
+            part = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+            packed.append(spark.sparkContext.broadcast(B.pack([(r.i, r.t.encode()) for r in part])))
+        found = found.mapInArrow(_search(packed, window, at), schema)
+        if begin + pass_slices < n:
+            path = scratch_path(spark, "contamination")
+            found.write.parquet(path)
+            found = spark.read.schema(schema).parquet(path)
+            for p in packed:
+                p.destroy()
     return found.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 

@@ -1,5 +1,6 @@
 """Contamination against a brute-force version."""
 
+import hashlib
 import random
 import re
 
@@ -40,13 +41,13 @@ def test_suffix_array():
         assert D.suffix_array(text).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
 
 
-@pytest.mark.parametrize("seed,slice_bytes", [(1, 1 << 20), (2, 300)])
-def test_equals_brute_force(spark, seed, slice_bytes):
+@pytest.mark.parametrize("seed,slice_bytes,pass_slices", [(1, 1 << 20, 32), (2, 300, 32), (3, 300, 2)])
+def test_equals_brute_force(spark, seed, slice_bytes, pass_slices):
     r = random.Random(seed)
     vocabulary = ["Éa", "b", "the", "x9"] + [f"w{i}" for i in range(12)]
     phrase = lambda k: " ".join(r.choices(vocabulary, k=k))
     items = [(k, phrase(r.choice([0, 3, 6, 13, 25]))) for k in range(12)]
-    items += [(3, phrase(20)), (None, phrase(15)), (77, None), (78, "..")]
+    items += [(3, phrase(20)), (None, phrase(15)), (77, None), (78, "..")] + items[:3] * 5
     docs = []
     for i in range(80):
         parts = [phrase(r.randint(0, 20)), "zz", phrase(5)]
@@ -57,6 +58,7 @@ def test_equals_brute_force(spark, seed, slice_bytes):
     found = D.find_contamination(
         spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as items", "3 as id").repartition(3),
         spark.createDataFrame(items, "item_id long, text string"), slice_bytes=slice_bytes,
+        pass_slices=pass_slices,
     )
     want = brute(docs, items)
     for row in found.collect():
@@ -65,9 +67,25 @@ def test_equals_brute_force(spark, seed, slice_bytes):
     for row in op3_result(found).collect():
         n, hit, names = want[row.doc_id]
         assert (row.n_words, row.n_hit, row.n_items) == (n, hit, len(names))
+        assert row.items_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
         assert row.contaminated == (hit > 0 and 20 * hit >= n)
 
 
+def test_windows_of_items():
+    """Against windows made one by one."""
+    texts = ["", "a", "b c", "d e f g h", "h"]
+    p = D.Phrases([(str(k), t.encode()) for k, t in enumerate(texts)], 3)
+    want = []
+    for k, t in enumerate(texts):
+        w = t.split()
+        n = min(3, len(w))
+        want += [(k, w[s : s + n]) for s in range(len(w) - n + 1) if n]
+    code = {int(h): w for h, w in zip(D.words_of([b"a b c d e f g h"])[0], "abcdefgh")}
+    word = lambda x: code[int(p.vocabulary[x - D.FIRST_SYMBOL])]
+    got = [(i, [word(p.words[k, c]) for k in range(n - 1, -1, -1)]) for c, (i, n) in enumerate(zip(p.item, p.length))]
+    assert got == want and p.shortest == 1
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
