@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from sessionloom.llm import blocks as B
 
 WINDOW = 13
-#: Groups per shuffle partition.
+#: Groups per shuffle partition, at least; and as many that a group has this much of the text on average.
 GROUPS = 4
+GROUP_BYTES = 8 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 
@@ -343,25 +344,27 @@ def kept_rows(ids: np.ndarray, words: Words, gone: np.ndarray) -> pa.RecordBatch
 
 def substring_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-    block_bytes: int = B.BLOCK_BYTES,
+    block_bytes: int = B.BLOCK_BYTES, group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): every document without its repeated windows.
 
     `kept_text` joins the kept words by one blank. `window` is at most 16 words. `block_bytes`
     bounds what one task holds of the text; raise it with the executors' memory on a large input, as
-    every block sends one value to each group.
+    every block sends one value to each group. `group_bytes` bounds what a group holds: groups, and the
+    partitions that hold `GROUPS` of them each, become more with the text.
     """
     spark = docs.sparkSession
     if not 2 <= window <= 16:
         raise ValueError("window must be 2 to 16 words")
-    n = B.partitions(spark)
-    groups = GROUPS * n
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    groups = max(GROUPS * B.partitions(spark), -(-int(size) // group_bytes))
     heavy = heavy_prefixes(docs, id_col, text_col, window, 1 / (4 * groups))
     table = B.write_blocks(docs, id_col, text_col, block_bytes)
     sent = table.select("block", "data").mapInArrow(
         _send(window, heavy, groups), "group int, block long, data binary"
     )
-    hits = sent.groupBy("group").applyInArrow(_grow(window), "block long, group int, hits binary")
+    dealt = sent.repartition(-(-groups // GROUPS), "group")
+    hits = dealt.groupBy("group").applyInArrow(_grow(window), "block long, group int, hits binary")
     replies = hits.groupBy("block").agg(F.collect_list(F.struct("group", "hits")).alias("replies"))
     return (
         table.select("block", "data")

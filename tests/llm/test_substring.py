@@ -32,8 +32,8 @@ def order(rows):
     return sorted(map(tuple, rows), key=str)
 
 
-@pytest.mark.parametrize("seed,block_bytes", [(1, 8 << 20), (2, 2000), (3, 300)])
-def test_equals_brute_force(spark, seed, block_bytes):
+@pytest.mark.parametrize("seed,block_bytes,group_bytes", [(1, 8 << 20, 8 << 20), (2, 2000, 300), (3, 300, 1000)])
+def test_equals_brute_force(spark, seed, block_bytes, group_bytes):
     r = random.Random(seed)
     vocabulary = ["a", "bb", "the", "É", "word", "longer-than-eight"] + [f"w{i}" for i in range(40)]
     passage = [" ".join(r.choices(vocabulary, k=30)) for _ in range(6)]
@@ -48,7 +48,7 @@ def test_equals_brute_force(spark, seed, block_bytes):
     rows += [(900, None), (901, ""), (902, " \n"), (3, rows[0][1]), (904, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     docs = docs.selectExpr("doc_id", "text", "1 as block", "2 as data", "'x' as kept_text")
-    got = substring_dedup(docs, block_bytes=block_bytes).collect()
+    got = substring_dedup(docs, block_bytes=block_bytes, group_bytes=group_bytes).collect()
     assert order(got) == order(brute(rows, 13))
 
 
