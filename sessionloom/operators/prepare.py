@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom import schemas as S
+from sessionloom.operators.joins import lookup_join
 from sessionloom.operators.quality import drop_if_present
 from sessionloom.session import stable
 from sessionloom.sources.tables import with_row_id
@@ -165,16 +166,19 @@ def _cutoffs(df: DataFrame, counted: DataFrame, quotas: DataFrame, key: str, see
     first = stable(reached(counted.join(wanted, "c").withColumn("done", F.lit(0)), "b"))
     hashed = df.select(label.alias("c"), split_hash(key, seed).alias("h"))
     inside = (
-        hashed.join(first, "c").filter(F.substring("h", 1, BUCKET_DIGITS) == F.col("at"))
+        lookup_join(hashed, first, "c").filter(F.substring("h", 1, BUCKET_DIGITS) == F.col("at"))
         .groupBy("c", "h").agg(F.count(F.lit(1)).alias("n"), F.first("done").alias("done"), F.first("quota").alias("quota"))
     )
     return stable(reached(inside, "h").select("c", F.col("at").alias("cutoff")))
 
 
 def _marked(df: DataFrame, key: str, seed: int, label: Column, cutoffs: DataFrame) -> DataFrame:
-    """One class per row at most meets `cutoffs`, so no row is lost or repeated."""
+    """One class per row at most meets `cutoffs`, so no row is lost or repeated.
+
+    Rows stay where they are unless the classes are many: dealt by class, a frequent one would be one task's.
+    """
     chosen = split_hash(key, seed) <= F.coalesce("_cutoff", F.lit(""))
-    joined = df.withColumn("_class", label).join(cutoffs.toDF("_class", "_cutoff"), "_class", "left")
+    joined = lookup_join(df.withColumn("_class", label), cutoffs.toDF("_class", "_cutoff"), "_class", "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.when(chosen, 1).otherwise(0).alias("is_test"))
 
 
@@ -270,7 +274,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Each row with the weight of its class."""
     weights = class_weights(df, label).select(F.col(label).alias("_class"), F.col("weight").alias(name))
-    joined = df.drop(name).join(weights, F.col(label).eqNullSafe(F.col("_class")), "left")
+    joined = lookup_join(df.drop(name), weights, F.col(label).eqNullSafe(F.col("_class")), "left")
     return joined.drop("_class")
 
 

@@ -172,6 +172,17 @@ def test_split_keeps_copies_of_a_key_together(spark):
     assert sides.filter("n > 1").count() == 0 and marked.count() == 900
 
 
+def test_rows_of_a_frequent_class_stay_in_their_tasks(spark):
+    """Marked and weighted rows are not dealt by class, of which there may be two only."""
+    rows = spark.range(8000, numPartitions=8).select("id", (F.col("id") % 100 == 0).cast("int").alias("y")).persist()
+    for marked in (
+        P.stratified_split(rows, "id", "y"), P.stratified_folds(rows, "id", "y", 3), P.with_class_weight(rows, "y"),
+    ):
+        assert "SortMergeJoin" not in marked._jdf.queryExecution().toString()
+        sizes = marked.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) <= 2000
+
+
 def test_split_of_an_empty_share(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0)], "key string, label int")
     assert P.random_split(df, "key", 0.0, 1).filter("is_test = 1").count() == 0
