@@ -82,6 +82,23 @@ def test_margins_are_at_the_optimum(spark):
     assert not np.allclose(fitted[0].weights, fitted[2].weights)
 
 
+def test_steps_read_packed_rows(spark):
+    """A block holds the entries other than zero of the columns that occur, whatever the vectors' width."""
+    x = np.zeros((6000, 300))
+    x[np.arange(6000), np.arange(6000) % 7] = np.arange(6000) + 1.0
+    y = np.arange(6000) % 2
+    df = frame(spark, x, y, 2).withColumn("weight", F.lit(1.0))
+    packed = G.packed_rows(G.margin_rows(df, "vector", "y", "weight", "fold"))
+    length = sum(F.length(n) for n, _ in G.PACKED)
+    assert packed.agg(F.sum(length)).first()[0] < 6000 * 60
+    found = list(G._blocks(packed.toArrow().to_batches()))
+    back = np.zeros(301)
+    for used, rows, *_ in found:
+        back[used] += rows.sum(0)
+    assert np.allclose(back, np.append(x.sum(0), 6000.0))
+    assert sum(len(side) for *_, side, _, _ in found) == 6000
+
+
 def test_margin_model_scores_and_survives_saving(spark, tmp_path):
     x = np.random.default_rng(3).normal(size=(20, 3))
     df = frame(spark, x, np.zeros(20))
