@@ -183,6 +183,15 @@ def test_rows_of_a_frequent_class_stay_in_their_tasks(spark):
         assert max(r["count"] for r in sizes) <= 2000
 
 
+def test_passes_over_a_sample_do_not_read_the_input(spark):
+    rows = spark.range(4000, numPartitions=4).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
+    for most, n in ((200, 200), (5000, 4000)):
+        sample = P.fit_sample(rows, "id", "y", most)
+        assert "Range" not in sample._jdf.queryExecution().toString()
+        assert sample.count() == n and sample.filter("y = 1").count() == n // 10
+        assert sample.rdd.getNumPartitions() == P.FIT_PARTITIONS
+
+
 def test_split_of_an_empty_share(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0)], "key string, label int")
     assert P.random_split(df, "key", 0.0, 1).filter("is_test = 1").count() == 0
