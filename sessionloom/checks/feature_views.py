@@ -13,6 +13,7 @@ from sessionloom.operators import features as V
 from sessionloom.operators import normalize as N
 from sessionloom.plans import warehouse as W
 from sessionloom.session import scratch_path
+from sessionloom.sources.tables import dealt
 
 CAPTURE = "capture_1.csv"
 
@@ -120,7 +121,7 @@ def f_training_view_fused(spark, d):
 
 
 def f_materialize(spark, d):
-    view = V.training_view_fused(X.conn(spark, d), keep=["uid", "source_file"])
+    view = V.training_view_fused(dealt(X.conn(spark, d), "uid"), keep=["uid", "source_file"])
     path = scratch_path(spark, "view")
     W.materialize(view.limit(0), path)
     return W.materialize(view, path)
@@ -128,7 +129,7 @@ def f_materialize(spark, d):
 
 def f_refresh_captures(spark, d):
     """A stored view of which one capture was cut and one is missing, both refreshed; the third is left alone."""
-    view = V.training_view_fused(X.conn(spark, d), keep=["uid", "source_file"])
+    view = V.training_view_fused(dealt(X.conn(spark, d), "uid"), keep=["uid", "source_file"])
     path = scratch_path(spark, "view")
     stale = view.filter("source_file = 'capture_1.csv' OR source_file = 'capture_2.csv' AND proto_tcp = 1")
     W.materialize(stale, path)

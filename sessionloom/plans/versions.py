@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionloom.session import open_files
+
 VERSION = "table_version"
 POINTER = "current.json"
 #: How a folder's name says that the partition's value is null.
@@ -85,7 +87,8 @@ def write_version(
     """Write the rows as folders of a version that is not in force yet."""
     spark, by = df.sparkSession, list(partition_by)
     base = _rows(root, table)
-    df.withColumn(VERSION, F.lit(version)).write.mode("append").partitionBy(*by, VERSION).parquet(base)
+    with open_files(spark):
+        df.withColumn(VERSION, F.lit(version)).write.mode("append").partitionBy(*by, VERSION).parquet(base)
     place, fs = _hadoop(spark, "/".join([base, *["*"] * len(by), f"{VERSION}={version}"]))
     top = _hadoop(spark, base)[0].toUri().getPath()
     folders = {}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Files that a task of a partitioned write keeps open at a time.
+OPEN_FILES = 8
+_OPEN_FILES_SETTING = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def open_files(spark: SparkSession, most: int = OPEN_FILES) -> Iterator[None]:
+    """Partitioned writes in here do not sort a task's rows first: it keeps a file open for each partition it meets.
+
+    A task that meets more than `most` partitions sorts the rest of its rows, as it otherwise would all of them.
+    """
+    before = spark.conf.get(_OPEN_FILES_SETTING)
+    spark.conf.set(_OPEN_FILES_SETTING, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(_OPEN_FILES_SETTING, before)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and go on from the written partitions.
 

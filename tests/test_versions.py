@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.plans import versions as V
 from sessionloom.plans import warehouse as W
+from sessionloom.sources.tables import dealt
 
 ROWS = [(i, f"v{i}", f"capture_{i % 3}.csv") for i in range(30)]
 
@@ -112,3 +113,23 @@ def test_a_failed_rebuild_leaves_every_table(spark, raw, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="lost"):
         W.rebuild(raw.limit(5), str(tmp_path))
     assert {n: t.count() for n, t in W.open_tables(spark, str(tmp_path)).items()} == counts
+
+
+def test_writes_do_not_sort_and_leave_the_setting(spark, tmp_path, monkeypatch):
+    """Rows of more captures than a task keeps files open for, too."""
+    setting, taken = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, lit = spark.conf.get(setting), F.lit
+    monkeypatch.setattr(V.F, "lit", lambda value: taken.append(spark.conf.get(setting)) or lit(value))
+    many = [(i, f"v{i}", f"capture_{i % 20}.csv") for i in range(200)]
+    got = W.materialize(table(spark, many).coalesce(1), str(tmp_path / "view"))
+    monkeypatch.undo()
+    assert int(taken[0]) > 0 and spark.conf.get(setting) == before
+    assert rows(got) == sorted(many, key=str)
+
+
+def test_a_view_is_made_by_all_cores_from_a_file_of_one_row_group(spark, raw, tmp_path):
+    raw.coalesce(1).write.parquet(str(tmp_path / "in"))
+    view = dealt(spark.read.parquet(str(tmp_path / "in")), "uid")
+    sizes = [n for n in view.rdd.glom().map(len).collect() if n]
+    assert len(sizes) > spark.sparkContext.defaultParallelism and sum(sizes) == raw.count()
+    assert max(sizes) < raw.count() / spark.sparkContext.defaultParallelism
