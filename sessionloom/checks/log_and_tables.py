@@ -146,7 +146,7 @@ def io_stream_ingest(spark, d):
 
 def _checked(spark, d) -> str:
     path = scratch_path(spark, "checked")
-    C.load_checked(X.broken_lines(X.read_table(spark, d, "events")), path)
+    C.load_checked(X.broken_lines(T.dealt(X.read_table(spark, d, "events"), "event_id")), path)
     return path
 
 

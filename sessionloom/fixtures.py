@@ -139,7 +139,8 @@ def broken_lines(events: DataFrame) -> DataFrame:
         .when(hit(SURPLUS), F.concat_ws("\t", *fields, F.lit("one more"), F.lit("")))
         .otherwise(F.concat_ws("\t", *fields))
     )
-    return raw.select(line.alias("value"), "source_file")
+    # Exploded, as in `conn_lines`: a filter on the line is not moved below it, where every line would be built again.
+    return raw.select(F.explode(F.array(line)).alias("value"), "source_file")
 
 
 def one_file_per_capture(df: DataFrame, path: str, kind: str, **options) -> str:

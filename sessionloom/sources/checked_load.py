@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom import schemas as S
+from sessionloom.session import open_files
 from sessionloom.sources.conn_log import ALL_NULL_TOKENS, parse_conn_log, read_lines, typed_cells
 
 #: What is wrong with a line, null for a sound one: fields it has, columns whose cell does not fit, the line itself.
@@ -75,7 +76,8 @@ def load_checked(lines: DataFrame, path: str, by: Iterable[str] = ("source_file"
     way as the stream's are: a session that has made an observation cannot run the library's model closures any
     more, as it does not let itself be serialised with them.
     """
-    _split_by_soundness(checked_lines(lines)).write.mode("errorifexists").partitionBy("clean", *by).parquet(path)
+    with open_files(lines.sparkSession):
+        _split_by_soundness(checked_lines(lines)).write.mode("errorifexists").partitionBy("clean", *by).parquet(path)
     stated = T.StructType([T.StructField("problem", PROBLEM)])
     return lines.sparkSession.read.schema(stated).parquet(path).agg(*line_totals()).first().asDict()
 
