@@ -223,7 +223,9 @@ FOREIGN_KEYS = [
 
 def q_fk_violations(spark, d):
     """Every foreign key: the values without a parent row, and how many child rows hold each."""
-    tables = N.build_tables(X.conn(spark, d)) | {n: X.read_table(spark, d, n) for n in ("documents", "labels")}
+    # Written once in even parts, which the tasks of every key read their columns of.
+    raw = spark.read.parquet(_stored(T.dealt(X.conn(spark, d), "uid"), "sessions"))
+    tables = N.build_tables(raw) | {n: X.read_table(spark, d, n) for n in ("documents", "labels")}
     found = [
         Q.fk_violations(tables[child], tables[parent], key, parent_key).select(
             F.lit(child).alias("child"), F.lit(key).alias("key"), F.col(key).cast("string").alias("value"), "n"

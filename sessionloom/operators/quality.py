@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionloom.operators.joins import local_copy
+
 
 def _name(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -83,7 +85,9 @@ def pk_violations(df: DataFrame, keys: Iterable[str]) -> DataFrame:
 def fk_violations(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child key values with no parent row, and how many child rows hold each.
 
-    The child is counted per key before the join, so a frequent key travels once.
+    The child is counted per key before the join, so a frequent key travels once. Parent keys go to every task only
+    if they prove few: a size that is guessed from the file would have a whole key column sent around. Many are dealt
+    to all shuffle partitions, which are not merged again by their compressed size, so a task sorts few of them.
     """
     keys = (
         child.filter(F.col(child_key).isNotNull())
@@ -91,6 +95,12 @@ def fk_violations(child: DataFrame, parent: DataFrame, child_key: str, parent_ke
         .agg(F.count(F.lit(1)).alias("n"))
     )
     parents = parent.select(F.col(parent_key).alias("_parent"))
+    small = local_copy(parents)
+    if small is None:
+        parts = int(parent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parents = parents.repartition(parts, "_parent").hint("merge")
+    else:
+        parents = F.broadcast(small)
     return keys.join(parents, F.col(child_key) == F.col("_parent"), "left_anti")
 
 

@@ -14,6 +14,7 @@ from sessionloom.operators import features as Fe
 from sessionloom.operators import joins as J
 from sessionloom.operators import normalize as N
 from sessionloom.operators import prepare as P
+from sessionloom.operators import quality as Q
 from sessionloom.operators.ordered import running_totals
 from sessionloom.operators.scaling import RobustScale, StandardScale
 from sessionloom.plans import warehouse as W
@@ -233,3 +234,13 @@ def test_aligning_adds_orders_and_drops(spark):
     df = spark.createDataFrame([(1, 2)], "b int, z int")
     out = P.align_features(df, ["a", "b"])
     assert out.columns == ["a", "b"] and tuple(out.first()) == (0, 1)
+
+
+def test_parent_keys_are_sent_to_all_tasks_only_if_few(spark, monkeypatch):
+    child = spark.createDataFrame([(1,), (1,), (2,), (None,), (9,), (9,), (9,)], "k long")
+    parent = spark.createDataFrame([(1,), (1,), (2,), (None,)], "p long")
+    for found in (Q.local_copy, lambda df: None):
+        monkeypatch.setattr(Q, "local_copy", found)
+        orphans = Q.fk_violations(child, parent, "k", "p")
+        assert [tuple(r) for r in orphans.collect()] == [(9, 3)]
+    assert "BroadcastExchange" not in orphans._jdf.queryExecution().executedPlan().toString()
