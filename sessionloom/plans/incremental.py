@@ -11,6 +11,7 @@ New names of services and labels get keys after the largest there is, in name or
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,12 @@ from sessionloom.operators import normalize as N
 from sessionloom.operators.joins import local_copy, small_rows
 from sessionloom.operators.quality import keep_first
 from sessionloom.plans import versions as V
-from sessionloom.session import stable
+from sessionloom.session import open_files, scratch_path
 from sessionloom.sources.tables import with_row_id
 
 BATCH = "batch"
+#: Tables of a batch that are written at a time.
+WRITES = 6
 #: Dimension: the raw column its names come from, its key and its name column.
 DIMENSIONS = {"service": ("service", "svc_id", "svc_name"), "label": ("detailed_label", "label_id", "label_name")}
 
@@ -34,10 +37,13 @@ def new_sessions(raw: DataFrame, stored: DataFrame | None) -> DataFrame:
     first = keep_first(raw.filter(F.col("uid").isNotNull()), ["uid"], ["source_file", "ts"])
     if stored is None:
         return first
-    # Of the stored keys only those of this batch matter. While the batch is small they are found by a scan alone.
-    keys = raw.select("uid").distinct()
-    small = local_copy(keys)
-    known = stored.select("uid").join(keys if small is None else F.broadcast(small), "uid", "left_semi")
+    # Of the stored keys only those of this batch matter. While the batch is small they are found by a scan alone. A
+    # large batch is not read again for its keys: it meets the stored ones where its own rows are gathered by key.
+    small, known = local_copy(raw.select("uid")), stored.select("uid")
+    if small is None:
+        known = known.hint("merge")
+    else:
+        known = known.join(F.broadcast(small), "uid", "left_semi")
     return first.join(known, "uid", "left_anti").select(raw.columns)
 
 
@@ -68,7 +74,10 @@ def add_batch(raw: DataFrame, number: int, out_dir: str, legend: str = "literal"
         rows = V.read_stored(spark, out_dir, V.Stored(found.schema, found.partition_by, others), table)
         return rows.drop(BATCH)
 
-    fresh = stable(new_sessions(raw, held("session")))
+    # Written once by columns, of which each table reads its own.
+    place = scratch_path(spark, "fresh")
+    new_sessions(raw, held("session")).write.parquet(place)
+    fresh = spark.read.schema(raw.schema).parquet(place)
     new, whole = {}, {}
     for table, (column, key, name) in DIMENSIONS.items():
         names = fresh.filter(F.col(column).isNotNull()).select(F.col(column).alias(name)).distinct()
@@ -85,14 +94,22 @@ def add_batch(raw: DataFrame, number: int, out_dir: str, legend: str = "literal"
         "session_history": N.build_session_history(fresh, codes),
     }
     version, written = before.new_version(), {}
-    for name, table in tables.items():
-        stored = V.write_version(table.withColumn(BATCH, F.lit(number).cast("long")), out_dir, version, name, [BATCH])
+
+    def write(name: str) -> V.Stored:
+        rows = tables[name].withColumn(BATCH, F.lit(number).cast("long"))
+        return V.write_version(rows, out_dir, version, name, [BATCH])
+
+    # Small writes, each with a start and an end in which no task runs: some are under way at a time.
+    with open_files(spark), ThreadPoolExecutor(WRITES) as pool:
+        stored_by_name = dict(zip(tables, pool.map(write, tables)))
+    for name, stored in stored_by_name.items():
         old = before.tables.get(name)
         kept = {f: v for f, v in old.folders.items() if f != folder} if old else {}
         written[name] = (V.Stored(stored.schema, [BATCH], kept | stored.folders), old)
     shared = V.write_version(codes, out_dir, version, "history_legend")
     written["history_legend"] = (shared, before.tables.get("history_legend"))
     V.replace_tables(spark, out_dir, written, before)
+    V.delete(spark, place)
 
 
 def stream_tables(raw: DataFrame, out_dir: str, checkpoint: str, **options) -> None:

@@ -149,6 +149,12 @@ def _drop_older(spark: SparkSession, root: str, table: str, before: Stored | Non
             fs.delete(folder, True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a job's own that nothing reads any more."""
+    place, fs = _hadoop(spark, path)
+    fs.delete(place, True)
+
+
 def replace_tables(
     spark: SparkSession, root: str, tables: dict[str, tuple[Stored, Stored | None]], before: Current
 ) -> None:

@@ -82,3 +82,15 @@ def test_null_and_repeated_keys_in_one_batch(spark, lines, tmp_path):
     assert rows(got.select("uid", "source_file")) == rows(raw.select("uid", "source_file"))
     I.add_batch(raw.limit(0), 1, str(tmp_path / "t"))
     assert I.open_grown(spark, str(tmp_path / "t"))["session"].count() == 20
+
+
+def test_a_large_batch_is_read_once(spark, lines, tmp_path, monkeypatch):
+    files = X.one_file_per_capture(lines, f"{tmp_path}/in", "text")
+    raw = L.read_conn_logs(spark, files)
+    stored = raw.filter("source_file = 'capture_1.csv'").select("uid").localCheckpoint()
+    want = rows(raw.filter("source_file <> 'capture_1.csv'"))
+    assert rows(I.new_sessions(raw, stored)) == want
+    monkeypatch.setattr(I, "local_copy", lambda df: None)
+    large = I.new_sessions(raw, stored)
+    assert rows(large) == want
+    assert large._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
