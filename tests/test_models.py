@@ -143,3 +143,18 @@ def test_scores_without_a_probability(compact):
     by_model = scores.groupby("model").score
     assert by_model.min().tolist() == [0.0, 0.0] and by_model.max().tolist() == [1.0, 1.0]
     assert set(scores[scores.model == "label"].score) <= {0.0, 1.0}
+
+
+def test_a_capture_is_scored_once(spark):
+    class Tenth:
+        inputs = ["x"]
+
+        def add_score(self, df):
+            return df.withColumn("score", F.col("x") / 10)
+
+    n = F.col("id")
+    rows = spark.range(11).select(n.cast("string").alias("uid"), n.cast("double").alias("x"), (n > 5).cast("int").alias("simple_label_encoded"))
+    predictions, accuracy = T.predict_capture(Tenth(), rows, ["uid"])
+    assert accuracy.first()["accuracy"] == 1.0 and predictions.filter("prediction = 1").count() == 5
+    for df in (predictions, accuracy):
+        assert "Range (" not in df._jdf.queryExecution().executedPlan().toString()
