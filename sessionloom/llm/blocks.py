@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +83,7 @@ def row_blocks(
         yield block(parts)
 
 
-def _block_writer(block_bytes: int, cuts: list[int]):
+def _block_writer(block_bytes: int, cuts: list[int], listed: Callable[[list[bytes]], bytes] | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 24
         n = 0
@@ -92,35 +92,38 @@ def _block_writer(block_bytes: int, cuts: list[int]):
             for p in np.unique(part):
                 at = np.flatnonzero(part == p)
                 at = at[np.argsort(ids[at], kind="stable")]
-                data = pack((ids[at], [texts[i] for i in at]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([base + n], pa.int64()), pa.array([int(p)], pa.int32()), pa.array([data], pa.binary())],
-                    names=["block", "batch", "data"],
-                )
+                own = [texts[i] for i in at]
+                cells = [pa.array([base + n], pa.int64()), pa.array([int(p)], pa.int32()), pa.array([pack((ids[at], own))], pa.binary())]
+                if listed:
+                    cells.append(pa.array([listed(own)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cells, names=["block", "batch", "data", "listed"][: len(cells)])
                 n += 1
 
     return write
 
 
 def write_blocks(
-    docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, cuts: list[int] | None = None
+    docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, cuts: list[int] | None = None,
+    listed: Callable[[list[bytes]], bytes] | None = None,
 ) -> DataFrame:
     """The documents as a table (block, batch, data), bucketed by block.
 
     `data` holds the ids in ascending order and their texts. `cuts` are ascending ids at which a new
-    batch begins; without them all is batch 0.
+    batch begins; without them all is batch 0. With them each batch has a folder of its own, so that one is read without
+    the others. `listed` makes one more column of that name from a block's texts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = rows.mapInArrow(_block_writer(block_bytes, cuts or []), "block long, batch int, data binary")
+    schema = "block long, batch int, data binary" + ", listed binary" * bool(listed)
+    made = rows.mapInArrow(_block_writer(block_bytes, cuts or [], listed), schema)
     name = f"blocks_{uuid.uuid4().hex}"
-    (
+    writer = (
         made.write.format("parquet")
         .option("path", scratch_path(spark, name))
         .option("compression", "none")
         .bucketBy(partitions(spark), "block")
-        .saveAsTable(name)
     )
+    (writer.partitionBy("batch") if cuts else writer).saveAsTable(name)
     return spark.table(name)
 
 

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionloom.llm import blocks as B
-from sessionloom.llm.suffix_index import SuffixIndex, dedup_bytes
+from sessionloom.llm.suffix_index import SuffixIndex, dedup_bytes, unpack_sorted
 
 
 def brute(rows, n=50):
@@ -86,3 +87,37 @@ def test_the_number_of_levels_follows_the_data(spark, monkeypatch):
     assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1], [4, 2, 1, 1], [8, 1], [8, 1, 1], [8, 2, 1],
                      [8, 2, 1, 1], [8, 4, 1], [8, 4, 1, 1], [8, 4, 2, 1], [8, 4, 2, 1, 1]]
     assert all(x.n_removed == (200 if x.doc_id >= 80 else 0) for x in got)
+
+
+def test_every_two_batches_meet_once(spark, monkeypatch):
+    """Sixteen batches: an entry is read by scans and merges once for each level it is in, not once for each later batch."""
+    read, beside = [], SuffixIndex._beside
+
+    def watched(self, left, right, *more):
+        for name in (left, right):
+            read.append(sum(len(unpack_sorted(r["keys"])) for r in spark.table(name).select("keys").collect()))
+        return beside(self, left, right, *more)
+
+    monkeypatch.setattr(SuffixIndex, "_beside", watched)
+    r = random.Random(8)
+    rows = [(i, "".join(r.choices("abcdefgh ", k=200))) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = SuffixIndex(spark)
+    for k in range(16):
+        index.add(B.write_blocks(df.filter(F.col("doc_id") % 16 == k), "doc_id", "text"))
+    index.marks()
+    one = sum(read[:2]) / 2
+    assert 0 < sum(read) < 1.1 * 16 * 4 * one
+
+
+def test_blocks_stay_whole_when_ids_are_in_no_order(spark, monkeypatch):
+    made, write = [], B.write_blocks
+    monkeypatch.setattr(B, "write_blocks", lambda *a, **b: made.append(write(*a, **b)) or made[-1])
+    r = random.Random(9)
+    texts = ["".join(r.choices("abcdefgh ", k=200)) for _ in range(80)]
+    rows = [(i, texts[i % 80]) for i in range(160)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = dedup_bytes(df, batch_bytes=4000).collect()
+    assert sorted(x.doc_id for x in got if x.n_removed == 200) == list(range(80, 160))
+    assert made[0].select("batch").distinct().count() == 8 and made[0].count() <= 2 * 8 + 8
