@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from sessionloom import schemas as S
+from sessionloom.checks import modelling
 from sessionloom.checks.modelling import FAMILY, _stays_when_shifted
 from sessionloom.operators import features as V
 from sessionloom.operators import margins as G
@@ -272,3 +273,53 @@ def test_self_gradient_by_differences():
         step[k] = 1e-6
         want = (N.losses(w + step, layers, x, x, N.SELF).mean() - N.losses(w - step, layers, x, x, N.SELF).mean()) / 2e-6
         assert got[k] == pytest.approx(want, abs=1e-6)
+
+
+def test_lbfgs_ends_where_the_gradient_vanishes():
+    """A long curved valley, and no iteration left over for what is flat."""
+
+    def valley(w):
+        a, b = w[:-1], w[1:]
+        grad = np.zeros(len(w))
+        grad[:-1] += -400 * a * (b - a * a) - 2 * (1 - a)
+        grad[1:] += 200 * (b - a * a)
+        return float((100 * (b - a * a) ** 2 + (1 - a) ** 2).sum()), grad
+
+    at, values, done = N.minimised(valley, np.array([-1.2, 1.0, -1.2, 1.0]), 300)
+    assert done and len(values) < 150 and all(x >= y for x, y in zip(values, values[1:]))
+    assert np.abs(valley(at)[1]).max() < 1e-2 * np.abs(valley(np.array([-1.2, 1.0, -1.2, 1.0]))[1]).max()
+    assert len(N.minimised(valley, np.array([-1.2, 1.0, -1.2, 1.0]), 3)[1]) == 4
+
+
+def test_network_by_lbfgs_sums_all_rows(spark):
+    """The same as on one machine, whatever the parts; all rows count, and the classes are told apart."""
+    x, y = rings(11, 900)
+    layers = [2, 12, 2]
+    fitted = N.fit_network(frame(spark, x, y, 5), "vector", "y", layers, 200, 3)
+    alone = N.minimised(lambda w: tuple(v / 900 for v in N.loss_and_gradient(w, layers, x, y)), N.first_weights(layers, 3), 8)
+    assert fitted.losses[: len(alone[1])] == pytest.approx(alone[1], rel=1e-6)
+    assert N.losses(fitted.weights, layers, x, y).mean() == pytest.approx(fitted.losses[-1]) and fitted.losses[-1] < 0.05
+
+
+class Reached(Exception):
+    pass
+
+
+@pytest.mark.parametrize("query,fit", [
+    ("m_mlp", "fit_mlp"), ("m_latent_mlp", "fit_mlp"), ("m_clean_train", "fit_mlp"), ("m_random_forest", "fit_forest"),
+    ("m_mlp_balanced", "fit_balanced_mlp"), ("m_train_all", "fit_forest"), ("m_train_all", "fit_balanced_mlp"),
+])
+def test_fits_read_the_whole_train_side(spark, sf_dir, monkeypatch, query, fit):
+    monkeypatch.setattr(modelling, "FIT_ROWS", 300)
+    # The bundles before the one in question are not needed.
+    for other in ("fit_logreg", "fit_forest", "fit_calibrated_svm"):
+        monkeypatch.setattr(M, other, lambda *a, **b: None)
+
+    def reached(df, *args, **named):
+        raise Reached(df.count(), named.get("max_fit_rows"))
+
+    monkeypatch.setattr(M, fit, reached)
+    with pytest.raises(Reached) as found:
+        modelling.QUERIES[query](spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert found.value.args == (n - -(-n // 5), None)
